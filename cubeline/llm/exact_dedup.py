@@ -82,3 +82,22 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+    """docs without the rows that do not stay; of rows that repeat an id and a text one stays. Rows without an id stay."""
+    found = exact_dedup(docs, doc_id, text, runs, fan_in)
+    out = without_ids(docs, found.filter("not kept").select("doc_id"), doc_id)
+    entries = digests(docs, 1, doc_id, text)
+    repeated = entries.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("doc_id"))
+    if repeated.isEmpty():
+        return out
+    mark = F.col(f"`{doc_id}`").cast("long")
+    once = out.join(repeated, mark == repeated["doc_id"], "left_semi").dropDuplicates([doc_id, text])
+    return without_ids(out, repeated, doc_id).union(once)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the ids in the first column of ``ids``; rows without an id stay."""
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")

@@ -261,15 +261,15 @@ def mask(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data in the text replaced; all other columns as they were."""
-    from pyspark.sql.functions import pandas_udf
+def mask_pii(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with personal data in the text replaced and, if there, its length in ``n_chars``; all other columns as they were."""
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def masked(texts):
         return texts.map(mask)
 
-    return docs.withColumn(text, masked(F.col(f"`{text}`")))
+    out = docs.withColumn(text, masked(F.col(f"`{text}`")))
+    return out.withColumn(n_chars, F.length(F.col(f"`{text}`")).cast("long")) if n_chars in docs.columns else out
 
 
 def base_sha256(base: str) -> str:

@@ -14,6 +14,8 @@ import numpy as np
 #: Bytes that part words: space and \x09-\x0D.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: As LOWER, and ASCII characters that are no letters or digits part words too.
+LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in LOWER)
 BLOCK = 1 << 20
 
 _IS_SEP = np.zeros(256, bool)
@@ -68,12 +70,15 @@ def _cut(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(index of the first text, the word hashes of each text), block by block; A-Z count as a-z, null as empty."""
+def word_hashes(texts: list[str | None], table: bytes = LOWER) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(index of the first text, the word hashes of each text), block by block; null counts as empty.
+
+    table: bytes as they count; by default A-Z as a-z.
+    """
     held: list[bytes] = []
     size = first = 0
     for k, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+        data = (text or "").encode("utf-8", "surrogatepass").translate(table)
         if held and size + len(data) > BLOCK:
             yield first, _block(held)
             held, size, first = [], 0, k
