@@ -11,19 +11,27 @@ join follows the size-aware scheme of Deng, Tao and Li (SIGMOD 2018):
 * the *boundary* is the size with the least cost, estimated from the subsets that
   small sets would enumerate and the list entries that they would scan.
 
-Classes, not all pairs, are wanted, so a list of k sets costs k comparisons. Its
-smallest set L is compared with all others. If X fails against L, then X can link
-with another set Y of the list only through a shingle outside L: otherwise
-|X n Y| <= |X n L|, which is too few for L and so too few for Y, as |Y| >= |L|.
-Sets of one leader are therefore listed again by the shingles that they hold
-outside it, of which a set that failed needs only a prefix; lists without a
-failed set are dropped. Short lists are then compared pair by pair, long ones get
-a leader of their own. Nothing is capped, and no link between classes is lost.
-
-Shingles that one set only holds (nearly all) leave early: list entries travel
-packed, sorted by hash range, to tasks that keep only shared ones. A shingle that
-is frequent within one batch skips that step and goes through pre-aggregated
-row-wise grouping alone, so no hot shingle meets in one task.
+Classes, not all pairs, are wanted, so a list of k sets costs k comparisons: all
+are compared with one leader L, and what links with L is one class. If X fails,
+it can link with a set Y of the list only if |X n Y| is at least what X needs with
+the smallest set of the list, and |X n Y| <= |X n L| + what both hold outside L.
+So X and Y share shingles outside L, as many as X lacks. The sets of one leader
+are listed again by their shingles outside it; a set that failed needs a prefix
+of them only, in which the shingles of its own come first, so most leave here.
+Lists without a failed set are dropped; short ones are compared pair by pair;
+long ones get a leader of their own. Leaders are the sets with fewest shingles of
+their own, the likely originals; a set that failed against one, but may by this
+bound link with sets smaller than it, is listed with those again under their
+smallest set, with which a failed set always lacks something. Nothing is capped,
+and no link between classes is lost.
+
+The order of prefixes is by the number of sets that hold a shingle. Shingles that
+one set only holds (nearly all) fill most prefixes and are never listed. To find
+them, shingles travel packed, sorted by hash range, to tasks that return the
+shared ones to their sets, packed likewise. A shingle that is frequent within one
+portion of texts is not sent there; it is marked, comes last in the order, and is
+listed only for sets that consist of such shingles. Lists are grouped by
+pre-aggregated minima and joins that can be split, so none meets in one task.
 
 Defined cases: null and empty texts, and texts of white space, have the empty set
 and link with nothing; identical sets are one class from the start; rows with a
@@ -41,6 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocks, id_text
 from .components import components
 from .scratch import Scratch
 from .textvec import mix, shingles, word_hashes
@@ -48,8 +57,15 @@ from .textvec import mix, shingles, word_hashes
 NUMERATOR, DENOMINATOR = 80, 100
 #: Sizes up to this are tried as the boundary between small and large sets.
 LARGEST_BOUNDARY = 64
-#: A key in more sets than this within one batch counts as frequent.
+#: A shingle in more sets than this within one portion counts as frequent; a portion has about so many shingles.
 FREQUENT = 64
+PORTION = 1_000_000
+#: Shingles of a bucket, and sets of a part, about.
+BUCKET = 1_000_000
+PART_SETS = 10_000
+#: Up to this many pairs (24 bytes each) are broadcast to the table of sets; more are shuffled with it.
+BROADCAST_PAIRS = 200_000
+_MANY = np.uint32(0xFFFFFFFF)
 #: Lists up to this length are compared pair by pair once a set has failed against a leader.
 SHORT_LIST = 32
 _SUBSET = np.uint64(0xA0761D6478BD642F)
@@ -69,213 +85,315 @@ def _prefix(n: int, num: int, den: int) -> int:
 # --- sets -----------------------------------------------------------------------------------------
 
 
-def _set_rows(num: int, den: int) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, block in word_hashes(texts):
-                sets, checks, sizes, prefixes = [], [], [], []
-                for words in block:
-                    s = shingles(words)
-                    n = len(s)
-                    sets.append(int(mix(s ^ _IDS).sum().view(np.int64)) if n else None)
-                    checks.append(int(mix(s ^ _CHECKS).sum().view(np.int64)) if n else None)
-                    sizes.append(n)
-                    prefixes.append(s[: _prefix(n, num, den) + 1].tobytes() if n else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(block)), pa.array(sets, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())],
-                    names=["id", "set_id", "check", "n", "prefix"],
-                )
+def _identity(s: np.ndarray, salt: np.uint64) -> int:
+    return int(mix(s ^ salt).sum().view(np.int64))
 
-    return rows
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in blocks(batches):
+        for first, block in word_hashes(texts):
+            found = [shingles(words) for words in block]
+            columns = [[_identity(s, salt) if len(s) else None for s in found] for salt in (_IDS, _CHECKS)]
+            arrays = [pa.array(ids[first : first + len(block)], pa.int64()), *(pa.array(c, pa.int64()) for c in columns), pa.array([len(s) for s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "set_id", "check", "n"])
 
-def document_sets(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> DataFrame:
-    """(id, set_id, check, n, prefix): the size of each text's set, its identity and its smallest hashes."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(_set_rows(num, den), "id long, set_id long, check long, n long, prefix binary")
 
+def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, set_id, check, n): the size of each text's set, and its identity twice."""
+    return id_text(docs, doc_id, text).mapInArrow(_set_rows, "id long, set_id long, check long, n long")
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, block in word_hashes(texts):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(block)], pa.int64()), pa.array([shingles(w).tobytes() for w in block], pa.binary())], names=["set_id", "tokens"])
 
+# --- shingles that several sets hold --------------------------------------------------------------
 
-# --- the boundary ---------------------------------------------------------------------------------
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some thousand texts at a time, each set once: shingles in order, the number of the set of each, the sets."""
+    held, sets, size = [], {}, 0
+    for _, texts in blocks(batches):
+        for _, block in word_hashes(texts):
+            for words in block:
+                s = shingles(words)
+                if len(s) and (own := _identity(s, _IDS)) not in sets:
+                    sets[own] = len(sets)
+                    held.append(s)
+                    size += len(s)
+                if size > PORTION:
+                    yield _portion(held, sets)
+                    held, sets, size = [], {}, 0
+    if held:
+        yield _portion(held, sets)
 
-def _small_tokens(num: int, den: int) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column(1).to_pylist()
-            parts = [np.frombuffer(p, np.int64)[: _prefix(n, num, den)] for n, p in zip(sizes, batch.column(2).to_pylist(), strict=True)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(sizes, [len(p) for p in parts]).astype(np.int64))], names=["token", "n"])
 
-    return rows
+def _portion(held: list[np.ndarray], sets: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, of = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(s) for s in held])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], of[order], np.array(list(sets), np.int64)
 
 
-def boundary(sets: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, largest: int = LARGEST_BOUNDARY) -> int:
-    """Sets below this size enumerate pairs. At most ``largest`` rows of counts come to the driver."""
-    small = sets.filter(f"n between 1 and {largest}").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    by = small.select("set_id", "n", "prefix").mapInArrow(_small_tokens(num, den), "token long, n long").groupBy("token", "n").agg(F.count(F.lit(1)).alias("c"))
-    lists = by.groupBy("token").agg(F.sum("c").alias("whole"))
-    scans = {r.n: (r.entries, r.scanned) for r in by.join(lists, "token").groupBy("n").agg(F.sum("c").alias("entries"), F.sum(F.expr("c * whole")).alias("scanned")).collect()}
-    count = {n: e / _prefix(n, num, den) for n, (e, _) in scans.items()}
+def _often(keys: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted keys is frequent."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(starts, len(keys)))
+    return np.repeat(counts > FREQUENT, counts)
 
-    def cost(x: int) -> float:
-        pairs = sum(c * (_prefix(n, num, den) + 1) * _prefix(n, num, den) / 2 for n, c in count.items() if n < x)
-        return pairs + sum(s for n, (_, s) in scans.items() if n * den >= num * x)
 
-    return min(range(2, largest + 1), key=lambda x: (cost(x), x))
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys byte by byte, highest first, which the shuffle's compression thrives on."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-# --- keys and shared keys -------------------------------------------------------------------------
-
-
-def _keys(batch: pa.RecordBatch, limit: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, sets and sizes of a batch of (set_id, n, prefix); each set once."""
-    keys, sets, sizes, seen = [], [], [], set()
-    for s, n, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        if s in seen:
-            continue
-        seen.add(s)
-        tokens = np.frombuffer(p, np.uint64)
-        found = []
-        if n < limit:
-            i, j = np.triu_indices(len(tokens), 1)
-            found.append(mix(mix(tokens[i] ^ _SUBSET) + tokens[j]))
-        if n * den >= num * limit:
-            found.append(tokens[: _prefix(n, num, den)])
-        for f in found:
-            keys.append(f)
-            sets.append(s)
-            sizes.append(n)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lengths = [len(k) for k in keys]
-    return np.concatenate(keys), np.repeat(np.array(sets, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
-
-
-def _split(batch: pa.RecordBatch, limit: int, num: int, den: int):
-    """The batch's entries sorted by key; which of the distinct keys are frequent."""
-    keys, sets, sizes = _keys(batch, limit, num, den)
-    order = np.argsort(keys, kind="stable")
-    keys, sets, sizes = keys[order], sets[order], sizes[order]
-    distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return keys, sets, sizes, distinct, counts > FREQUENT, (counts > FREQUENT)[inverse] if len(keys) else np.zeros(0, bool)
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-def _packed(limit: int, bits: int, num: int, den: int) -> Callable:
-    """(bucket, keys, sets, sizes): the entries of keys that are not frequent here, a mark (size 0) for each that is."""
+def _packed(bits: int) -> Callable:
+    """(bucket, keys, of, sets): the entries of shingles that are not frequent here, with a list of their sets; of each that is, a mark without a set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sets, sizes, distinct, often, out = _split(batch, limit, num, den)
-            marks = distinct[often]
-            keys = np.concatenate((keys[~out], marks))
-            sets = np.concatenate((sets[~out], np.zeros(len(marks), np.int64)))
-            sizes = np.concatenate((sizes[~out], np.zeros(len(marks), np.int64))).astype(np.uint32)
+        for keys, of, sets in _portions(batches):
+            often = _often(keys)
+            marks = np.unique(keys[often])
+            keys, of = np.concatenate((keys[~often], marks)), np.concatenate((of[~often], np.full(len(marks), len(sets), np.uint32)))
             order = np.argsort(keys, kind="stable")
-            keys, sets, sizes = keys[order], sets[order], sizes[order]
-            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            keys, of = keys[order], of[order]
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            to = np.append(at[1:], len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()) for x in (keys, sets, sizes))],
-                names=["bucket", "keys", "sets", "sizes"],
-            )
+            named = np.append(sets, 0)
+            out = []
+            for a, b in zip(at, np.append(at[1:], len(keys))[: len(at)], strict=True):
+                used, own = np.unique(of[a:b], return_inverse=True)
+                own = own.astype(np.uint16 if len(used) < 65536 else np.uint32)
+                out.append((int(bucket[a]), _planes(keys[a:b]), own.tobytes(), named[used].tobytes(), bool(len(used) and used[-1] == len(sets))))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "keys", "of", "sets", "marks"])
 
     return rows
 
 
-def _frequent(limit: int, num: int, den: int) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sets, sizes, _, _, out = _split(batch, limit, num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[out].view(np.int64)), pa.array(sets[out]), pa.array(sizes[out])], names=["key", "x", "n"])
-
-    return rows
+def _by_set(keys: np.ndarray, sets: np.ndarray, often: np.ndarray, parts: int):
+    """(part, keys, sets, often) as bytes, sorted by set within each part."""
+    part = (sets.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((sets, part))
+    keys, sets, often, part = keys[order], sets[order], often[order], part[order]
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return [(int(part[a]), keys[a:b].tobytes(), sets[a:b].tobytes(), often[a:b].astype(np.uint32).tobytes()) for a, b in zip(at, np.append(at[1:], len(keys))[: len(at)], strict=True)]
 
 
-def _shared(num: int, den: int) -> Callable:
+def _shared(parts: int) -> Callable:
     def shared(_key, pdf):
-        """Of one hash range, the entries of keys that two sets of fitting sizes hold, and of marked keys."""
+        """Of one hash range, the entries of shingles that several sets hold or that are marked, with the number of sets."""
         import pandas as pd
 
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        sets = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sets"]])
-        sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["sizes"]]).astype(np.int64)
-        marked = np.isin(keys, keys[sizes == 0])
-        order = np.lexsort((sets, sizes, keys))
-        keys, sets, sizes, marked = keys[order], sets[order], sizes[order], marked[order]
+        keys, sets, none = [], [], []
+        for k, of, named, marks in zip(pdf["keys"], pdf["of"], pdf["sets"], pdf["marks"], strict=True):
+            k, named = _unplaned(k), np.frombuffer(named, np.int64)
+            of = np.frombuffer(of, np.uint16 if 2 * len(k) == len(of) else np.uint32)
+            keys.append(k)
+            sets.append(named[of])
+            none.append(of == len(named) - 1 if marks else np.zeros(len(k), bool))
+        keys, sets, none = np.concatenate(keys), np.concatenate(sets), np.concatenate(none)
+        marked = np.unique(keys[none])
+        order = np.argsort(keys, kind="stable")
+        keys, sets, none = keys[order], sets[order], none[order]
+        same = keys[1:] == keys[:-1]
+        several = np.zeros(len(keys), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        several |= np.isin(keys, marked)
+        several &= ~none
+        keys, sets = keys[several], sets[several]
+        order = np.lexsort((sets, keys))
+        keys, sets = keys[order], sets[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
-        new &= sizes > 0
-        keys, sets, sizes, marked = keys[new], sets[new], sizes[new], marked[new]
-        near = (keys[1:] == keys[:-1]) & (sizes[:-1] * den >= num * sizes[1:])
-        alive = marked
-        alive[1:] |= near
-        alive[:-1] |= near
-        return pd.DataFrame({"key": keys[alive].view(np.int64), "x": sets[alive], "n": sizes[alive]})
+        keys, sets = keys[new], sets[new]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+        counts = np.diff(np.append(starts, len(keys)))
+        often = np.repeat(np.minimum(counts, int(_MANY) - 1), counts).astype(np.uint32)
+        often[np.isin(keys, marked)] = _MANY
+        keep = often > 1
+        return pd.DataFrame(_by_set(keys[keep], sets[keep], often[keep], parts), columns=["part", "keys", "sets", "often"])
 
     return shared
 
 
-def shared_entries(sets: DataFrame, limit: int, num: int = NUMERATOR, den: int = DENOMINATOR, per_bucket: int = 2_000_000) -> DataFrame:
-    """(key, x, n): list entries that may meet another set. Buckets grow in number with the entries, not in size."""
-    total = sets.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
-    bits = max(4, int(np.ceil(np.log2(total / per_bucket + 1))))
-    rows = sets.filter("n > 0").select("set_id", "n", "prefix")
-    packed = rows.mapInArrow(_packed(limit, bits, num, den), "bucket long, keys binary, sets binary, sizes binary")
-    light = packed.groupBy("bucket").applyInPandas(_shared(num, den), "key long, x long, n long")
-    return light.union(rows.mapInArrow(_frequent(limit, num, den), "key long, x long, n long"))
+def _frequent(parts: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, of, sets in _portions(batches):
+            often = _often(keys)
+            out = _by_set(keys[often], sets[of[often]], np.full(int(often.sum()), _MANY, np.uint32), parts)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "sets", "often"])
+
+    return rows
+
+
+def _prefixes(num: int, den: int) -> Callable:
+    def prefixes(_key, blobs, sets):
+        """(set_id, n, keep, shared): the shingles of a set that another one holds, rarest first; ``keep`` of them are in its extended prefix."""
+        import pandas as pd
+
+        size = dict(zip(sets["set_id"].tolist(), sets["n"].tolist(), strict=True))
+        out = []
+        if len(blobs):
+            keys, own, often = (np.concatenate([np.frombuffer(x, t) for x in blobs[c]]) for c, t in (("keys", np.uint64), ("sets", np.int64), ("often", np.uint32)))
+            order = np.lexsort((keys, often, own))
+            keys, own, often = keys[order], own[order], often[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+            keys, own = keys[new], own[new]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
+                n = size[int(own[a])]
+                keep = _prefix(n, num, den) + 1 - (n - (b - a))
+                if keep > 0:
+                    out.append((int(own[a]), n, min(keep, int(b - a)), keys[a:b].view(np.int64)))
+        return pd.DataFrame(out, columns=["set_id", "n", "keep", "shared"])
+
+    return prefixes
+
+
+def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """(set_id, n, keep, shared), of sets that may meet another one. Buckets grow in number with the shingles, not in size.
+
+    The order is by the number of sets that hold a shingle, frequent ones last. A
+    shingle that one set only holds is left out, but counts for the prefix.
+    """
+    total, count = sets.agg(F.sum("n"), F.count("n")).first()
+    bits = max(3, int(np.ceil(np.log2((total or 0) / BUCKET + 1))))
+    parts = max(8, (count or 0) // PART_SETS)
+    texts = id_text(docs, doc_id, text)
+    packed = texts.mapInArrow(_packed(bits), "bucket long, keys binary, of binary, sets binary, marks boolean")
+    schema = "part long, keys binary, sets binary, often binary"
+    listed = packed.groupBy("bucket").applyInPandas(_shared(parts), schema).union(texts.mapInArrow(_frequent(parts), schema))
+    sizes = sets.filter("n > 0").select("set_id", "n").distinct()
+    sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
+    return listed.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
+
+
+# --- the boundary, and list entries ---------------------------------------------------------------
+
+
+def boundary(prefixes: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, largest: int = LARGEST_BOUNDARY) -> int:
+    """Sets below this size enumerate pairs. At most ``largest`` rows of counts come to the driver."""
+    small = prefixes.filter(f"n <= {largest}").select("n", F.col("keep").cast("int").alias("r"), F.col("shared").alias("prefix"))
+    pairs = {r.n: r.c for r in small.groupBy("n").agg(F.sum(F.expr("r * (r - 1) / 2")).alias("c")).collect()}
+    by = small.select("n", F.explode(F.expr("slice(prefix, 1, r)")).alias("token")).groupBy("token", "n").agg(F.count(F.lit(1)).alias("c"))
+    lists = by.groupBy("token").agg(F.sum("c").alias("whole"))
+    scans = {r.n: r.c for r in by.join(lists, "token").groupBy("n").agg(F.sum(F.expr("c * whole")).alias("c")).collect()}
+
+    def cost(x: int) -> float:
+        return sum(c for n, c in pairs.items() if n < x) + sum(c for n, c in scans.items() if n * den >= num * x)
+
+    return min(range(2, largest + 1), key=lambda x: (cost(x), x))
+
+
+def _entry_rows(limit: int, num: int, den: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sets, sizes, alone = [], [], [], []
+            for s, n, keep, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                tokens = shared.values.to_numpy()[:keep].view(np.uint64)
+                # the prefix proper has one shingle less, unless the set has no more to extend it
+                found = [tokens[: _prefix(n, num, den) - n + len(shared)]] if n * den >= num * limit else []
+                if n < limit:
+                    i, j = np.triu_indices(len(tokens), 1)
+                    low, high = np.minimum(tokens[i], tokens[j]), np.maximum(tokens[i], tokens[j])
+                    found.append(mix(mix(low ^ _SUBSET) + high))
+                for f in found:
+                    keys.append(f)
+                    sets.append(np.full(len(f), s, np.int64))
+                    sizes.append(np.full(len(f), n, np.int64))
+                    alone.append(np.full(len(f), n - len(shared), np.int64))
+            if keys:
+                columns = [np.concatenate(keys).view(np.int64), *map(np.concatenate, (sets, sizes, alone))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "x", "n", "alone"])
+
+    return rows
+
+
+def list_entries(prefixes: DataFrame, limit: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """(key, x, n, alone): small sets under pairs of shingles; large ones, and those that may link with them, under shingles."""
+    return prefixes.select("set_id", "n", "keep", "shared").mapInArrow(_entry_rows(limit, num, den), "key long, x long, n long, alone long")
 
 
 # --- comparisons ----------------------------------------------------------------------------------
 
 
 def _compared(num: int, den: int, again: bool) -> Callable:
-    """(x, y, n, linked, rest): y is the leader; rest, what x must be listed by again."""
+    """(x, y, n, alone, linked, upto, rest): y is the leader; rest, what x must be listed by again.
+
+    upto: if x failed, but not against all sets of its lists, the largest size that it may still link with by what it shares with y; else 0.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, *tokens = (batch.column(k) for k in range(4))
-            linked, rest, sizes = [], [], []
-            for a, b in zip(*(c.to_pylist() for c in tokens), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                inside = b[at] == a
+            linked, upto, rest, sole = [], [], [], []
+            for low, n, m, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), batch.column(5), batch.column(6), strict=True):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                inside = np.isin(a, b, assume_unique=True)
                 shared = int(inside.sum())
-                need = int(least_overlap(len(a), len(b), num, den))
-                linked.append(shared >= need)
-                sizes.append(len(a))
+                link = shared >= least_overlap(n, m, num, den)
+                most = shared * (num + den) // num - n
+                linked.append(link)
+                upto.append(most if not link and most >= low else 0)
+                sole.append(n - len(a))
                 if again:
+                    # shingles that no other set holds come first, and need no list
                     outside = a[~inside]
-                    keep = len(outside) if shared >= need else max(0, len(outside) - (need - shared) + 1)
-                    rest.append(outside[:keep].view(np.int64))
-            arrays = [x, y, pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_())]
+                    missing = 1 if link else max(1, int(least_overlap(n, low, num, den)) - shared)
+                    rest.append(outside[: max(0, len(outside) - missing + 1)])
+            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sole, pa.int64()), pa.array(linked, pa.bool_()), pa.array(upto, pa.int64())]
             if again:
                 arrays.append(pa.array(rest, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "n", "linked", "rest"][: len(arrays)])
+            yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "n", "alone", "linked", "upto", "rest"][: len(arrays)])
 
     return rows
 
 
-def _compare(scratch: Scratch, pairs: DataFrame, tokens: DataFrame, num: int, den: int, again: bool) -> DataFrame:
-    with_x = pairs.join(tokens.select(F.col("set_id").alias("x"), F.col("tokens").alias("tx")), "x")
-    both = with_x.join(tokens.select(F.col("set_id").alias("y"), F.col("tokens").alias("ty")), "y")
-    schema = "x long, y long, n long, linked boolean" + ", rest array<long>" * again
-    return scratch.keep(both.select("x", "y", "tx", "ty").mapInArrow(_compared(num, den, again), schema), "compared")
+def _compare(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int, again: bool) -> DataFrame:
+    """pairs: (x, y, low), low being the least size of a set that x may link with through their lists."""
+    pairs = scratch.keep(pairs.select("x", "y", "low"), "pairs")
+    few = (lambda t: F.broadcast(t)) if pairs.count() <= BROADCAST_PAIRS else (lambda t: t)
+    with_x = sets.select(F.col("set_id").alias("x"), "n", F.col("shared").alias("tx")).join(few(pairs), "x")
+    leaders = sets.select(F.col("set_id").alias("y"), F.col("n").alias("m"), F.col("shared").alias("ty")).join(few(pairs.select("y").distinct()), "y")
+    both = with_x.join(leaders, "y")
+    schema = "x long, y long, n long, alone long, linked boolean, upto long" + ", rest array<long>" * again
+    return scratch.keep(both.select("x", "y", "low", "n", "m", "tx", "ty").mapInArrow(_compared(num, den, again), schema), "compared")
+
+
+def _led(entries: DataFrame, central: bool) -> DataFrame:
+    """(key, band, x, y, low): each set of a list with its leader, the smallest set or the one with fewest shingles of its own."""
+    first = entries.groupBy("key", "band").agg(F.min(F.struct("n", "x")).alias("s"), F.min(F.struct("alone", (-F.col("n")).alias("m"), "x")).alias("c"), F.max("x").alias("hi"), F.min("x").alias("lo"))
+    first = first.filter("lo <> hi").select("key", "band", F.col("c.x" if central else "s.x").alias("y"), F.col("s.n").alias("low"))
+    return entries.join(first, ["key", "band"]).filter("x <> y").select("key", "band", "x", "y", "low")
+
 
+def _against_leaders(scratch: Scratch, entries: DataFrame, sets: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Comparisons that settle the lists but for shingles outside the leaders.
+
+    A set that failed against a central leader may still link with smaller sets by
+    what it shares with it. These sets, and the smaller ones, are a list with the
+    smallest as leader.
+    """
+    led = scratch.keep(_led(entries, True), "led")
+    found = _compare(scratch, _pairs(led), sets, num, den, True)
+    unsure = led.join(found.filter("upto > 0").select("x", "y", "upto"), ["x", "y"]).select("key", "band", "x", "upto")
+    unsure = scratch.keep(unsure, "unsure")
+    least = unsure.groupBy("key", "band").agg(F.max("upto").alias("upto"))
+    small = entries.join(least, ["key", "band"]).filter("n <= upto").select(*entries.columns)
+    small = small.union(entries.join(unsure.select("key", "band", "x"), ["key", "band", "x"]).select(*entries.columns)).distinct()
+    return [found, _compare(scratch, _pairs(_led(small, False)), sets, num, den, True)]
+
+
+def _pairs(led: DataFrame) -> DataFrame:
+    return led.groupBy("x", "y").agg(F.min("low").alias("low"))
 
-def _leaders(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (x, y): each set of a list with the list's smallest."""
-    first = entries.groupBy("key", "band").agg(F.min(F.struct("n", "x")).alias("s"), F.max("x").alias("hi"), F.min("x").alias("lo"))
-    first = first.filter("lo <> hi").select("key", "band", F.col("s.x").alias("y"))
-    return entries.join(first, ["key", "band"]).filter("x <> y").select("x", "y").distinct()
+
+def _listed(found: DataFrame) -> DataFrame:
+    """(key, x, n, alone, failed): the sets of a leader under their shingles outside it."""
+    rows = found.select("y", "x", "n", "alone", F.expr("not linked").alias("failed"), F.explode("rest").alias("token"))
+    return rows.select(F.xxhash64("y", "token").alias("key"), "x", "n", "alone", "failed")
 
 
 def similarity_classes(
@@ -291,43 +409,35 @@ def similarity_classes(
     """(doc_id, n_shingles, component_id), a row for each document.
 
     num / den: the least similarity. short_list: lists up to this length are
-    compared pair by pair. levels: rounds of leaders before all lists that are
-    left are. limit: the boundary between small and large sets; by cost if None.
+    compared pair by pair. levels: rounds of leaders, after which all lists that
+    are left are. limit: the boundary between small and large sets; by cost if None.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
-    table = scratch.keep(document_sets(docs, doc_id, text, num, den), "sets")
+    table = scratch.keep(document_sets(docs, doc_id, text), "sets")
     clash = table.filter("n > 0").groupBy("set_id").agg((F.min("check") != F.max("check")).alias("bad"), F.min("id").alias("rep"))
     reps = clash.select("set_id", "rep")
-    limit = boundary(table, num, den) if limit is None else limit
-    entries = scratch.keep(shared_entries(table, limit, num, den), "entries")
-    entries = entries.withColumn("band", F.expr(_BAND))
-    entries = entries.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-
-    wanted = entries.select(F.col("x").alias("set_id")).distinct().join(reps, "set_id").select("set_id", F.col("rep").alias("id"))
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    tokens = wanted.join(texts, "id").select("set_id", "t").mapInArrow(_token_rows, "set_id long, tokens binary")
-    tokens = scratch.keep(tokens.dropDuplicates(["set_id"]), "tokens")
-
+    prefixes = scratch.keep(shared_shingles(docs, table, doc_id, text, num, den), "prefixes")
+    limit = boundary(prefixes, num, den) if limit is None else limit
+    entries = list_entries(prefixes, limit, num, den).withColumn("band", F.expr(_BAND))
+    entries = scratch.keep(entries.withColumn("band", F.explode(F.array("band", F.col("band") + 1))), "entries")
     links = []
-    for level in range(levels + 1):
-        found = _compare(scratch, _leaders(entries, num, den), tokens, num, den, True)
-        links.append(found.filter("linked").select("x", "y"))
-        listed = found.select("y", "x", "n", "linked", F.explode("rest").alias("token"))
-        listed = scratch.keep(listed.select(F.xxhash64("y", "token").alias("key"), "x", "n", "linked").distinct(), "listed")
-        counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("all_linked"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        counts = scratch.keep(counts.filter("lo <> hi and not all_linked").select("key", "k"), "counts")
-        last = level == levels
-        short = counts if last else counts.filter(f"k <= {short_list}")
-        near = listed.join(short, "key")
-        failed = near.filter("not linked").select("key", "x", "n")
-        pairs = failed.join(near.select("key", F.col("x").alias("y"), F.col("n").alias("m")), "key")
-        pairs = pairs.filter(f"x <> y and least(n, m) * {den} >= greatest(n, m) * {num}")
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        links.append(_compare(scratch, pairs, tokens, num, den, False).filter("linked").select("x", "y"))
+    for level in range(levels):
+        found = _against_leaders(scratch, entries, prefixes, num, den)
+        links += [f.filter("linked").select("x", "y") for f in found]
+        listed = _listed(found[0]).union(_listed(found[1]))
+        listed = scratch.keep(listed.groupBy("key", "x", "n", "alone").agg(F.max("failed").alias("failed")), "listed")
+        counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("failed").alias("failed"))
+        counts = scratch.keep(counts.filter("k > 1 and failed").select("key", "k"), "counts")
+        last = level == levels - 1
+        near = listed.join(counts if last else counts.filter(f"k <= {short_list}"), "key")
+        left = near.filter("failed").select("key", "x", "n").join(near.select("key", F.col("x").alias("y"), F.col("n").alias("m")), "key")
+        left = left.filter(f"x <> y and least(n, m) * {den} >= greatest(n, m) * {num}")
+        left = left.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.lit(0).cast("long").alias("low")).distinct()
+        links.append(_compare(scratch, left, prefixes, num, den, False).filter("linked").select("x", "y"))
         long = counts.filter(f"k > {short_list}")
         if last or long.isEmpty():
             break
-        entries = scratch.keep(listed.join(long.select("key"), "key").select("key", "x", "n", F.lit(0).alias("band")).distinct(), "entries")
+        entries = scratch.keep(listed.join(long.select("key"), "key").select("key", "x", "n", "alone", F.lit(0).alias("band")), "entries")
 
     edges = links[0]
     for more in links[1:]:
