@@ -36,13 +36,16 @@ from pyspark.sql import DataFrame
 
 from .blocks import blocks, id_text
 
-#: States and pieces that a worker remembers at most.
-MOST_STATES = 120_000
-MOST_PIECES = 300_000
+#: States and pieces that a worker remembers at most, of about 450 and 250 bytes each.
+MOST_STATES = 250_000
+MOST_PIECES = 800_000
 #: Pieces longer than this are read but not remembered.
 LONGEST_KEPT = 64
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         if any(bytes((b,)) not in ranks for b in range(256)):
@@ -60,7 +63,7 @@ class Transducer:
         # longer token may start with; one token more than bytes unless that is the whole piece
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple[tuple[int, ...], bytes]] = []
-        self._next: list[dict[int, int]] = []
+        self._next: dict[int, int] = {}  # state * 256 + byte -> state
         self._last: list[int] = []
         self._intern((), b"")
 
@@ -70,7 +73,6 @@ class Transducer:
         if found is None:
             found = self._ids[key] = len(self._states)
             self._states.append(key)
-            self._next.append({})
             self._last.append(lasts[-1] if lasts else -1)
         return found
 
@@ -100,22 +102,29 @@ class Transducer:
     def _step(self, state: int, byte: int) -> int:
         lasts, tail = self._states[state]
         whole = len(lasts) == len(tail)  # nothing of the piece has left the window
-        tail += bytes((byte,))
-        for size in range(len(tail), 0, -1):
-            token = self.ranks.get(tail[-size:])
+        tail += _BYTES[byte]
+        rank, pairs, n = self.ranks.get, self._pairs, len(tail)
+        for at in range(n):
+            token = rank(tail[at:])
             if token is None:
                 continue
-            if size > len(lasts):
+            if n - at > len(lasts):
                 if self.merge(tail) == [token]:
                     break
-            elif self._follows(lasts[-size], token):
-                break
-        lasts = (*lasts, token)
-        open_ = next((k for k in range(len(tail)) if tail[k:] in self._starts), len(tail))
-        if open_ or not whole:
-            tail = tail[open_:]
-            lasts = lasts[-len(tail) - 1 :]
-        return self._intern(lasts, tail)
+            else:
+                before = lasts[at - n]
+                follows = pairs.get((before, token))
+                if follows if follows is not None else self._follows(before, token):
+                    break
+        lasts += (token,)
+        starts, cut = self._starts, 0
+        while cut < n and tail[cut:] not in starts:
+            cut += 1
+        if cut or not whole:
+            tail = tail[cut:]
+            lasts = lasts[cut - n - 1 :]
+        to = self._next[state << 8 | byte] = self._intern(lasts, tail)
+        return to
 
     def read(self, piece: bytes) -> Iterator[int]:
         """The tokens of one piece, each as soon as no later byte can change it."""
@@ -128,10 +137,8 @@ class Transducer:
         length, last, following = self.longest, self._last, self._next
         sizes = self.bytes_of
         for byte in piece:
-            to = following[state].get(byte)
-            if to is None:
-                to = following[state][byte] = self._step(state, byte)
-            state = to
+            to = following.get(state << 8 | byte)
+            state = self._step(state, byte) if to is None else to
             lasts.append(last[state])
             at = len(lasts)
             if at - sure >= 4 * length and not at % length:
@@ -159,21 +166,19 @@ class Transducer:
             end -= len(sizes[lasts[end - 1]])
         return out[::-1]
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece; of a short one, all at its end."""
         if len(piece) >= 4 * self.longest:
-            return list(self.read(piece))
+            return tuple(self.read(piece))
         if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
+            return (whole,)
         if len(self._states) > self.most_states:
             self._reset()
         state, lasts = 0, []
         last, following = self._last, self._next
         for byte in piece:
-            to = following[state].get(byte)
-            if to is None:
-                to = following[state][byte] = self._step(state, byte)
-            state = to
+            to = following.get(state << 8 | byte)
+            state = self._step(state, byte) if to is None else to
             lasts.append(last[state])
         return self._tokens(lasts, len(lasts), 0, self.bytes_of)
 
@@ -231,8 +236,8 @@ class Codec:
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.most_pieces = most_pieces
-        self._pieces: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         pieces, out = self._pieces, []
