@@ -89,11 +89,10 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     found = exact_dedup(docs, doc_id, text, runs, fan_in)
     out = without_ids(docs, found.filter("not kept").select("doc_id"), doc_id)
     entries = digests(docs, 1, doc_id, text)
-    repeated = entries.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("doc_id"))
+    repeated = entries.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__twice"))
     if repeated.isEmpty():
         return out
-    mark = F.col(f"`{doc_id}`").cast("long")
-    once = out.join(repeated, mark == repeated["doc_id"], "left_semi").dropDuplicates([doc_id, text])
+    once = out.join(repeated, F.col(f"`{doc_id}`").cast("long") == F.col("__twice"), "left_semi").dropDuplicates([doc_id, text])
     return without_ids(out, repeated, doc_id).union(once)
 
 

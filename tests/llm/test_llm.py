@@ -1,0 +1,388 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from cubeline.llm import ann, bpe, chat, exact_dedup, ngram_join, packing, pii, quality, queries, scratch, textvec, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, n long, key string, run int, x string, score double"
+WHITE = re.compile("[\x20\x09-\x0d]")
+
+
+def table(spark, rows):
+    """Documents with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, 7, "k", 1, "x", 0.5) for i, t in rows], SCHEMA)
+
+
+def words(r, n, pool=400):
+    return " ".join(f"w{r.randrange(pool)}" for _ in range(n))
+
+
+def corpus():
+    r = random.Random(4)
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "One  TWO"), (6, "a"), (7, words(r, 30000, 10**6)), (8, "é ü\x0b東京 x y z"), (9, "É ü 東京 x y z")]
+    base = words(r, 60).split()
+    for k in range(10, 60):  # one group of near copies
+        own = list(base)
+        for _ in range(r.randrange(0, 4)):
+            own[r.randrange(len(own))] = f"m{r.randrange(1000)}"
+        if r.random() < 0.4:
+            del own[r.randrange(len(own))]
+        rows.append((k, " ".join(own)))
+    for k in range(60, 160):  # short texts
+        own = words(r, 12, 3).split()[: r.randrange(4, 13)]
+        rows.append((k, " ".join(own)))
+    passage = words(r, 30)
+    rows += [(k, f"{words(r, 100, 10**6)} {passage}") for k in range(160, 200)]
+    rows += [(300 + k, rows[12][1]) for k in range(5)]
+    return rows
+
+
+def brute_classes(rows):
+    sets = {}
+    for i, t in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("options", [{}, {"limit": 1, "short_list": 2}, {"limit": 64, "short_list": 1, "levels": 2}])
+def test_classes(spark, options, monkeypatch):
+    if options:
+        monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    rows = corpus()
+    found = ngram_join.similarity_classes(table(spark, rows), **options).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_classes(rows)
+    assert len(found) == len(rows)
+
+
+def test_classes_edges(spark):
+    assert ngram_join.similarity_classes(table(spark, [])).collect() == []
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)]
+    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.similarity_classes(table(spark, rows)).collect())
+    assert found == [(-1, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4)]
+
+
+def test_shingles_and_long_texts(monkeypatch):
+    text = "A b " * 5000 + "c"
+    whole = next(textvec.word_hashes([text]))[1][0]
+    monkeypatch.setattr(textvec, "BLOCK", 1000)
+    assert (np.concatenate([x for _, b in textvec.word_hashes([text]) for x in b]) == whole).all() and len(whole) == 10001
+    assert len(textvec.shingles(whole)) == 3
+
+
+def test_exact_dedup(spark):
+    rows = [*corpus(), (500, "on e t\x0cwo"), (501, "onetwo"), (501, "onetwo"), (None, "onetwo")]
+    for runs, fan_in in ((64, 8), (5, 2), (1, 2)):
+        found = exact_dedup.exact_dedup(table(spark, rows), runs=runs, fan_in=fan_in).collect()
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[WHITE.sub("", t or "")].append((-len(t or ""), i is None, i or 0))
+        keep = {k: min(v) for k, v in groups.items()}
+        want = {(i, keep[n][2], len(groups[n]), i == keep[n][2], hashlib.sha256(n.encode()).hexdigest()) for i, t in rows for n in [WHITE.sub("", t or "")]}
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert exact_dedup.exact_dedup(table(spark, [])).collect() == []
+    left = exact_dedup.drop_exact_duplicates(table(spark, [(1, "a"), (1, "a"), (2, "a "), (3, "b"), (None, "c")])).select("doc_id").collect()
+    assert sorted(r[0] or -1 for r in left) == [-1, 2, 3]
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_pii(t):
+    def valid(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in s.split(".")), "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    return {k: [m.span() for m in re.finditer(p, t or "") if valid(k, m.group())] for k, p in BASE.items()}
+
+
+def test_pii(spark):
+    r = random.Random(5)
+    parts = ["1", "25", "255", "300", "0", ".", ".", "-", " ", "+", "@", "a", "b.c", "(", ")", "é", "://", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 555-1234", "iban DE12345678", "password=x1"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(16))) for _ in range(5000)] + [None, "", "x" * 3000 + " a@b.cd"]
+    for t in texts:
+        found = pii.find_spans(t)
+        assert {k: found[k] for k in BASE} == brute_pii(t), t
+    rows = list(enumerate(texts[-300:]))
+    got = {x.doc_id: x for x in queries.pii.find_pii(table(spark, rows)).collect()}
+    for i, t in rows:
+        want = brute_pii(t)
+        listed = ",".join(f"{k}:{a}:{b}" for k in BASE for a, b in want[k])
+        assert got[i].base == listed and [got[i][f"n_{k}"] for k in BASE] == [len(v) for v in want.values()] and got[i].spans.startswith(listed)
+    assert pii.mask("mail a@b.cd, http://u:p@h.de/x now") == "mail <email>, <url> now" and pii.mask(None) is None
+    masked = pii.mask_pii(table(spark, [(1, "ip 1.2.3.4"), (2, None)]), n_chars="n").orderBy("doc_id").collect()
+    assert [(m.text, m.n, m.key) for m in masked] == [("ip <ip>", 7, "k"), (None, None, "k")]
+
+
+@pytest.fixture(scope="module")
+def multi():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        return path, bpe.Codec(f.read(), public_tokenizers.PATTERN)
+
+
+def test_bpe(spark, multi):
+    path, codec = multi
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.machine.ranks, special_tokens={})
+    r = random.Random(3)
+    parts = ["a", "b", "th", "é", "ß", " ", "  ", "\n", "1", "23", "東京", "x", "!!", "-", "\t", "ing", "😀", "\u0301", "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(1500)] + ["", "a" * 5000, " " * 3000, "ab" * 4000, "é" * 700, "東" * 3000]
+    small = bpe.Codec.__new__(bpe.Codec)
+    small.__dict__ |= codec.__dict__ | {"machine": bpe.Transducer(codec.machine.ranks, most_states=50), "_pieces": {}, "_older": {}, "most_pieces": 10}
+    for t in texts:
+        ids = library.encode_ordinary(t)
+        assert codec.encode(t) == ids == small.encode(t)
+        assert codec.decode_bytes(ids) == t.encode() and "".join(codec.decode_stream(iter(ids))) == t
+    rows = [*enumerate(texts[:100]), (100, None), (None, "x")]
+    got = {x.doc_id: x for x in bpe.round_trip_digests(table(spark, rows), path, public_tokenizers.PATTERN).collect()}
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    back = bpe.decode_documents(bpe.encode_documents(table(spark, rows), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    assert {x.doc_id: x.text for x in back.collect()} == {i: t or "" for i, t in rows}
+
+
+def test_utf8_stream():
+    r = random.Random(1)
+    for _ in range(3000):
+        b = bytes(r.choice([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xFF, 0xED, 0xA0, 0xE0, 0xF4, 0x90]) for _ in range(r.randrange(12)))
+        s = bpe.Utf8Stream()
+        assert "".join(s.push(b[k : k + 1]) for k in range(len(b))) + s.close() == b.decode("utf-8", "replace")
+
+
+def test_packing(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [*corpus(), (900, "<|endoftext|> x"), (901, "z" * 9000), (7777, words(random.Random(1), 2000))]
+    found = packing.pack(table(spark, rows), path, group_chars=60_000).collect()
+    library = Tokenizer.from_file(path)
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for p in found:
+        pieces[p.doc_id].append(p)
+        sequences[p.sequence_id].append(p)
+        own = np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4")
+        assert len(own) == p.length > 0 and zlib.crc32(own.tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids[p.doc_id])
+    for i, own in ids.items():
+        at = 0
+        for p in sorted(pieces[i], key=lambda p: p.start):
+            assert p.start == at
+            at += p.length
+        assert at == len(own)
+    for s in sequences.values():
+        at = 0
+        for p in sorted(s, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048 and not at & (at - 1)  # no padding at all
+    assert packing.pack(table(spark, []), path).collect() == []
+    costs = defaultdict(float)
+    for _, _, n, s, _ in packing.assign([300] * 20 + [100] * 20, 1024):
+        costs[s] += n + n * n / 1024
+    assert max(costs.values()) < 1.7 * sum(costs.values()) / len(costs)
+
+
+def test_url_filter(spark, tmp_path):
+    urls = [None, "", "x.com/en/", "http://Example.COM/en/1", "http://www.example.com/en/1", "http://a.www.example.com/en", "https://net/es/", "https://a.net/es", "ftp://a.net/fr/x?y#z", "http://a.com", "http://a.com?x=/", "http://notexample.com/en/", "http://example.com.:80/en/", "x://y://z.com/", "http://example.com/en", "http://İ.com/", "http:///en/", "http://a.net#/es/", "http://a.com/\n/x"]
+    pages = spark.createDataFrame([*enumerate(urls), (None, "http://a.com/")], "page_id long, url string").withColumn("host", F.lit("clash"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    own = url_filter.judge_urls(pages, queries.RULES)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = {(r[0], *r[1:]) for r in con.execute(queries.ORACLE_SQL["op9_url_filter"]).fetchall() if r[0] is not None}
+    assert {tuple(r) for r in own.collect() if r[0] is not None} == want
+    trie = url_filter.RuleTrie([("block", "a.b/x"), ("allow", "a.b/xy/"), ("block", "b/"), ("allow", "c.b/p/q")])
+    assert trie.find("a.b", "/xz") == ("a.b/x", "block") and trie.find("z.a.b", "/xy/1") == ("a.b/xy/", "allow")
+    assert trie.find("c.b", "/p/") == ("b/", "block") and trie.find("c.b", "/p/qq") == ("c.b/p/q", "allow") and trie.find("bb", "/") is None
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "b\\<|im_end|>"), (1, 0, "user", None), (2, 5, "we\nird<|", "x"), (2, 5, "we\nird<|", "x"), (2, 3, None, "é\\|"), (None, 0, "user", "lost")]
+    rows += [(9, k, "assistant" if k % 2 else "user", "long " * 100) for k in range(50)]
+    turns = spark.createDataFrame(rows, chat.TURNS)
+    parts = chat.format_turns(turns, part_chars=3000)
+    got = {r.conv_id: r for r in chat.formatted_digests(parts).collect()}
+    assert parts.filter("conv_id = 9").count() > 5
+    for conv in {r[0] for r in rows}:
+        own = sorted(((k, role or "", t or "") for c, k, role, t in rows if c == conv))
+        said = "".join(f"{role}\n{t}\n" for _, role, t in own)
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert got[conv].loss_chars == len(loss) and got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    records = [
+        {"id": 1, "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": None}]},
+        {"id": 2, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"conv_id": 3, "instruction": "do", "input": "this", "output": "done"},
+        {"conv_id": 4, "prompt": "p", "completion": "c", "extra": {"deep": [1]}},
+        {"conv_id": 5, "turn": 2, "role": "gpt", "text": "t"},
+        {"id": 6, "messages": []},
+    ]
+    frame = spark.createDataFrame([(json.dumps(x),) for x in records] + [(None,)], "record string")
+    got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.canonical_turns(frame).collect()}
+    assert got == {(1, 0): ("system", "s"), (1, 1): ("user", ""), (2, 0): ("user", "q"), (2, 1): ("assistant", "a"), (3, 0): ("user", "do\n\nthis"), (3, 1): ("assistant", "done"), (4, 0): ("user", "p"), (4, 1): ("assistant", "c"), (5, 2): ("assistant", "t")}
+    assert chat.fingerprint({"a", "b[].c"}) == chat.fingerprint({"b[].c", "a"})
+    unknown = spark.createDataFrame([('{"a": 1}',)], "record string")
+    assert chat.canonical_turns(unknown, strict=False).collect() == []
+    assert chat.formatted_digests(chat.format_turns(turns.limit(0))).collect() == []
+
+
+def test_nearest(spark):
+    r = np.random.RandomState(2)
+    x = r.normal(size=(700, 16)) * r.uniform(0.2, 3, (700, 1))
+    x[100:160] = x[100]  # ties
+    rows = [(k, [float(v) for v in row], 1) for k, row in enumerate(x)]
+    rows += [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] * 16, 1), (1004, [None] + [1.0] * 15, 1), (1005, [1.0], 1), (None, [1.0] * 16, 1), (5, rows[5][1], 1)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int")
+    found = ann.nearest(t, lambda i: i % 20 == 0, shard=200, block=10).collect()
+    of = defaultdict(list)
+    for f in sorted(found, key=lambda f: (f.query_id, f["rank"])):
+        of[f.query_id].append(f)
+        assert f.score == pytest.approx(float(x[f.query_id] @ x[f.vec_id]), abs=1e-12)
+    assert sorted(of) == list(range(0, 700, 20))
+    hits = 0
+    for q, rows_ in of.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-20]
+        assert [f["rank"] for f in rows_] == list(range(1, 21)) and all((-a.score, a.vec_id) < (-b.score, b.vec_id) for a, b in zip(rows_, rows_[1:], strict=False))
+        hits += sum(f.score >= least - 1e-12 for f in rows_)
+    assert hits >= 0.95 * 20 * len(of)
+    few = ann.nearest(t.filter("vec_id < 3"), lambda i: i % 20 == 0).collect()
+    assert len(few) == 2 and ann.nearest(t.limit(0), lambda i: i % 20 == 0).collect() == []
+
+
+def test_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    t = spark.read.parquet(f"{sf}/embeddings.parquet")
+    held = {r.vec_id: np.array(r.embedding, float) for r in t.collect()}
+    ids = np.array(sorted(held))
+    x = np.array([held[i] for i in ids])
+    found = defaultdict(set)
+    for f in queries.op2_ann(spark, sf).collect():
+        found[f.query_id].add(f.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        score = x @ held[q]
+        score[ids == q] = -np.inf
+        hits += len(found[q] & set(ids[np.argsort(-score)[:20]]))
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_quality(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_quality(spark, sf).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
+    held = [i for i in labels if got[i].held_out]
+    assert np.mean([got[i].predicted == labels[i] for i in held]) > 0.97
+    model = quality.fit([], np.array([]))
+    found = {r.doc_id: r.score for r in quality.score_quality(table(spark, corpus()[:9]), model).collect()}
+    assert len(found) == 9 and all(abs(s - 0.5) < 1e-6 for s in found.values())
+    docs = table(spark, [(1, "x y z"), (2, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep_quality(docs, quality.learn(docs, none)).columns == docs.columns
+    # the gradients are those of the loss
+    r = np.random.RandomState(0)
+    m, x, starts, y = quality.initial(), r.normal(size=(9, quality.N_FEATURES)), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
+    g = quality.gradients(m, x, starts, y)
+
+    def loss():
+        p = quality.forward(m, x, starts)[0]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for k in m:
+        at = tuple(0 for _ in m[k].shape)
+        m[k][at] += 1e-5
+        up = loss()
+        m[k][at] -= 2e-5
+        assert (up - loss()) / 2e-5 == pytest.approx(g[k][at], abs=1e-6)
+        m[k][at] += 1e-5
+
+
+def test_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    # some documents of this label hold none of its words, as their text was spoilt
+    caught = [got[i].predicted for i, v in labels.items() if v]
+    false = [got[i].predicted for i, v in labels.items() if not v]
+    assert np.mean(caught) > 0.93 and np.mean(false) < 0.005
+    chain = toxicity.learn_chain(table(spark, corpus()[:9]), spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int"))
+    assert all(r.predicted == 0 for r in toxicity.score_toxicity(table(spark, [(1, None), (2, "x")]), chain).collect())
+    models, out = toxicity.fit_chain(np.eye(8), np.array([[1, 0], [0, 1]] * 4, float), 4)
+    assert len(models[1]) == len(models[0]) + 1 and out.shape == (8, 2)
+    two = toxicity.learn_chain(table(spark, [(k, "bad" if k % 2 else "good") for k in range(20)]), spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(20)], "doc_id long, a int, b int"), categories=("a", "b"))
+    assert two["names"] == ("a", "b")
+
+
+def test_scratch_reads_the_session(spark):
+    class Conf:
+        def __init__(self, d):
+            self.d = d
+
+        def get(self, key, default):
+            return self.d.get(key, default)
+
+    class Fake:
+        def __init__(self, d, master):
+            self.conf = Conf(d)
+            self.sparkContext = type("S", (), {"master": master})
+
+    assert scratch.shared_folder(Fake({"spark.checkpoint.dir": "hdfs://x/c/"}, "yarn")) == "hdfs://x/c"
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Fake({}, "yarn"))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+        kept = {r.doc_id: r.text for r in docs.collect()}
+        if name == "exact_dedup":
+            groups = defaultdict(list)
+            for i, t in before.items():
+                groups[WHITE.sub("", t)].append((-len(t), i))
+            assert set(kept) == {min(g)[1] for g in groups.values()}
+        elif name == "ngram_join":
+            assert set(kept) == {c for _, c in brute_classes(list(before.items())).values()}
+        elif name == "pii":
+            assert kept == {i: pii.mask(t) for i, t in before.items()}
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert {p.doc_id for p in pieces} == set(kept)
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
