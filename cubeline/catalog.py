@@ -258,17 +258,16 @@ def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.initcap("type"), F.format_string('Attempt TASK_TYPE="%s" TASKID="%s" TASK_ATTEMPT_ID="%s" ', "type", "task_id", "attempt_id"))
     count = F.aggregate(F.map_entries("counters"), F.lit(""), lambda x, e: F.concat(x, F.format_string("[(%s)(some (label))(%d)]", e["key"], e["value"])))
     tries = [F.concat(head, F.format_string('START_TIME="%d" QUOTED="a \\"b\\" c" .', "start_ms")), F.concat(head, F.format_string('TASK_STATUS="%s" FINISH_TIME="%d" COUNTERS="{(g)(G)', "status", "finish_ms"), count, F.lit('}" .'))]
-    lines = [a.select(path.alias("path"), (F.col("n") * 10 + k).alias("line_no"), x.alias("line")) for k, x in enumerate(tries)]
+
+    def lines(rows: DataFrame, first: int, texts: list) -> DataFrame:
+        listed = F.explode(F.array(*(F.struct((F.col("n") * 10 + first + k).alias("line_no"), x.alias("line")) for k, x in enumerate(texts))))
+        return rows.select(path.alias("path"), listed.alias("x")).select("path", "x.*")
+
     tasks = a.groupBy("cluster", "job_id", "task_id").agg(F.min("type").alias("type"), F.min("start_ms").alias("a"), F.max("finish_ms").alias("b"), F.min("n").alias("n"))
     of_task = [F.format_string('Task TASKID="%s" TASK_TYPE="%s" START_TIME="%d" .', "task_id", "type", "a"), F.format_string('Task TASKID="%s" TASK_TYPE="%s" TASK_STATUS="SUCCESS" FINISH_TIME="%d" EMPTY="" .', "task_id", "type", "b")]
-    lines += [tasks.select(path.alias("path"), (F.col("n") * 10 + 3 + k).alias("line_no"), x.alias("line")) for k, x in enumerate(of_task)]
     jobs = a.groupBy("cluster", "job_id", "user").agg(F.min("start_ms").alias("a"), F.max("finish_ms").alias("b"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
     of_job = [F.format_string('Job JOBID="%s" JOBNAME="daily \\"x\\"" USER="%s" SUBMIT_TIME="%d" .', "job_id", "user", "a"), F.format_string('Job JOBID="%s" FINISH_TIME="%d" JOB_STATUS="FAILURE" FINISHED_MAPS="%d" TOTAL_MAPS="oops" .', "job_id", "b", "c")]
-    lines += [jobs.select(path.alias("path"), (F.col("n") * 10 + 5 + k).alias("line_no"), x.alias("line")) for k, x in enumerate(of_job)]
-    out = lines[0]
-    for more in lines[1:]:
-        out = out.union(more)
-    return out
+    return lines(a, 0, tries).union(lines(tasks, 3, of_task)).union(lines(jobs, 5, of_job))
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
