@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM does not compile larger methods; Spark then runs the parts of a plan as smaller ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 _SHIPPED: set[str] = set()
 
