@@ -47,21 +47,33 @@ def read_lines(spark: SparkSession, paths: str | list[str], split: bool = False)
     return rows.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).select("path", F.col("n").cast("long").alias("line_no"), "line")
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once: filters on it are not pushed below, which would compute it again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def classify(lines: DataFrame) -> DataFrame:
-    """Lines of (path, line_no, line) that are a job's, an attempt's or a task's, in this order: kind, job_id, params, counters, prefix."""
+    """Lines of (path, line_no, line) that are a job's, an attempt's or a task's, in this order: kind, job_id, params, counters, prefix.
+
+    Cheap tests of how a line begins guard the patterns, so most lines meet one
+    pattern for their kind; parameters are read only of the kinds that a reader keeps.
+    """
     place = [c for c in lines.columns if c != "line"]
     rows = lines.select(*place, F.replace("line", F.lit('\\"'), F.lit("")).alias("line"))
     line = F.col("line")
-    # the cheap tests come first: most lines of a log are none of these kinds
+    # most lines of a log are none of these kinds
     rows = rows.filter(line.contains("JOBID=") | line.contains("USER=") | line.contains("TASK_TYPE="))
-    rows = rows.select(*place, "line", F.regexp_extract(line, JOB_LINE, 1).alias("direct"), F.regexp_extract(line, ATTEMPT_LINE, 1).alias("prefix"), line.rlike("^" + TASK_LINE).alias("is_task"))
+    direct = F.when(line.startswith("Job JOBID="), F.regexp_extract(line, JOB_LINE, 1)).otherwise("")
     loose = F.when(line.contains("USER="), F.regexp_extract(line, JOB_ID, 0)).otherwise("")
-    rows = rows.select(*place, "line", "prefix", "is_task", F.when(F.col("direct") != "", F.col("direct")).otherwise(loose).alias("job"))
-    kind = F.when(F.col("job") != "", "job").when(F.col("prefix") != "", "attempt").when(F.col("is_task"), "task")
-    rows = rows.select(*place, "line", F.upper("prefix").alias("prefix"), "job", kind.alias("kind")).filter("kind is not null")
-    rows = rows.select(*place, "line", "prefix", "job", "kind", _pairs(line, PARAMETER).alias("params"))
+    tried = line.startswith("MapAttempt TASK_TYPE=") | line.startswith("ReduceAttempt TASK_TYPE=")
+    prefix = F.when(tried, F.regexp_extract(line, ATTEMPT_LINE, 1)).otherwise("")
+    rows = _once(rows, "is", F.struct(direct.alias("direct"), loose.alias("loose"), prefix.alias("prefix"), (line.startswith("Task TASKID=") & line.rlike("^" + TASK_LINE)).alias("task")))
+    job = F.when(F.col("is.direct") != "", F.col("is.direct")).otherwise(F.col("is.loose"))
+    kind = F.when(job != "", "job").when(F.col("is.prefix") != "", "attempt").when(F.col("is.task"), "task")
+    rows = rows.select(*place, "line", F.upper("is.prefix").alias("prefix"), job.alias("job"), kind.alias("kind")).filter("kind is not null")
+    rows = _once(rows, "params", _pairs(line, PARAMETER))
     task = F.regexp_extract(F.coalesce(F.try_element_at(F.col("params"), F.lit("TASKID")), F.lit("")), TASK_ID, 1)
-    rows = rows.select(*place, "line", "prefix", "job", "kind", "params", task.alias("task"))
+    rows = _once(rows, "task", F.when(F.col("kind") != "job", task).otherwise(""))
     job_id = F.when(F.col("kind") == "job", F.col("job")).when(F.col("task") != "", F.concat(F.lit("job_"), F.col("task")))
     return rows.select(*place, "kind", job_id.alias("job_id"), "prefix", "params", "line")
 
