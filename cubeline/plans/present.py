@@ -9,15 +9,17 @@ from ..functions import metrics, timefn
 
 
 def top_and_rest(series: DataFrame, n: int = 10, rest: str = "users") -> DataFrame:
-    """(user, time_ms, value, total): the n users of largest total, and all others as one series ``<k> <rest>``, lightest first."""
+    """(user, time_ms, value, total): the n users of largest total, and all others as one series ``<k> <rest>``, lightest first.
+
+    Only the n names are gathered and broadcast; all users are counted by partial sums.
+    """
     totals = series.groupBy("user").agg(F.sum("value").alias("total"))
-    rank = F.row_number().over(Window.orderBy(F.desc("total"), "user"))  # a row for each user shown
-    ranked = totals.withColumn("rank", rank)
-    count = ranked.filter(F.col("rank") > n).agg(F.count(F.lit(1)).alias("k"))
-    named = ranked.crossJoin(F.broadcast(count)).select(F.col("user").alias("u"), F.when(F.col("rank") <= n, F.col("user")).otherwise(F.concat(F.col("k").cast("string"), F.lit(f" {rest}"))).alias("user"), (F.col("rank") > n).alias("folded"))
-    rows = series.join(F.broadcast(named), series["user"] == named["u"]).select(named["user"], "folded", "time_ms", "value")
-    rows = rows.groupBy("user", "folded", "time_ms").agg(F.sum("value").alias("value"))
-    rows = rows.withColumn("total", F.sum("value").over(Window.partitionBy("user", "folded")))
+    top = totals.orderBy(F.desc("total"), "user").limit(n).select(F.col("user").alias("u"), F.lit(True).alias("named"))
+    others = totals.agg(F.concat((F.count(F.lit(1)) - n).cast("string"), F.lit(f" {rest}")).alias("others"))
+    rows = series.join(F.broadcast(top), F.col("user").eqNullSafe(F.col("u")), "left").crossJoin(F.broadcast(others))  # n rows, one row
+    folded = F.col("named").isNull()
+    rows = rows.groupBy(F.when(folded, F.col("others")).otherwise(F.col("user")).alias("user"), folded.alias("folded"), "time_ms").agg(F.sum("value").alias("value"))
+    rows = rows.withColumn("total", F.sum("value").over(Window.partitionBy("user", "folded")))  # a row for each period shown
     return rows.orderBy(F.desc("folded"), "total", F.desc("user"), "time_ms").select("user", "time_ms", "value", "total")
 
 
