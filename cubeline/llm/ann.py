@@ -8,6 +8,13 @@ bounded shard allows; the diversity rule thins them, and edges back are thinned
 likewise. A graph is stored as flat neighbour arrays, one fixed-width row of
 positions for each vector and level, -1 where there is none.
 
+Nearest candidates alone would close a dense group of vectors upon itself, so
+equal vectors, and dense groups within a small radius, are one node of the graph
+(their first vector), and a search scores all members of the nodes that it finds.
+Beside its neighbours each node has long edges: both ways along a random ring,
+so that every level is strongly connected, and to the nearest of thinner and
+thinner random samples.
+
 Inner product becomes Euclidean distance by one more component, the root of what
 the largest squared norm leaves (Bachrach et al. 2014), so the graph is metric
 for any norms.
@@ -40,7 +47,12 @@ BLOCK = 1024
 M = 16
 EF = 128
 K = 20
-NODES = "shard long, pos int, vec_id long, level int, vector binary, lower binary, upper binary"
+#: Long edges of a node on each level, beside its neighbours: two along the ring, two to each of the samples.
+LONG = 8
+#: The squared radius of a dense group that is one node, as a part of the mean squared distance in the shard.
+TIGHT = 0.01
+#: lead: the position of the node's vector; the others of a node have no edges.
+NODES = "shard long, pos int, vec_id long, lead int, level int, vector binary, lower binary, upper binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -55,7 +67,7 @@ def _level(ids: np.ndarray, m: int) -> np.ndarray:
 
 def _thin(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, width: int) -> np.ndarray:
     """The diversity rule for many vectors at once: a candidate (in order of distance) is kept if it is nearer
-    to the vector than to each kept one; free places then go to the nearest that were passed over."""
+    to the vector than to each kept one, not as near; free places then go to the nearest that were passed over."""
     n, c = cand.shape
     kept = np.zeros((n, c), bool)
     count = np.zeros(n, int)
@@ -64,7 +76,7 @@ def _thin(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, width: int) -> np.n
     norm = np.einsum("ncc->nc", gram)
     between = norm[:, :, None] + norm[:, None, :] - 2 * gram
     for j in range(c):
-        clash = (kept[:, :j] & (between[:, j, :j] < dist[:, j, None])).any(1) if j else np.zeros(n, bool)
+        clash = (kept[:, :j] & (between[:, j, :j] <= dist[:, j, None])).any(1) if j else np.zeros(n, bool)
         kept[:, j] = (cand[:, j] >= 0) & ~clash & (count < width)
         count += kept[:, j]
     rank = np.where(kept, 0, np.where(cand >= 0, 1, 2)) * (c + 1) + np.arange(c)
@@ -73,14 +85,62 @@ def _thin(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, width: int) -> np.n
     return np.pad(out, ((0, 0), (0, max(0, width - out.shape[1]))), constant_values=-1)
 
 
+def _metric(vectors: np.ndarray, norm2: float) -> np.ndarray:
+    """The vectors with one more component, about their mean, which no distance depends on."""
+    more = np.sqrt(np.maximum(norm2 - (vectors * vectors).sum(1), 0))
+    x = np.hstack((vectors, more[:, None]))
+    return (x - x.mean(0)).astype(np.float32)
+
+
+def leaders(vectors: np.ndarray, norm2: float, candidates: int) -> np.ndarray:
+    """The position of each vector's node: the first of its copies, or of a group within a small radius that would fill ``candidates``."""
+    _, first, of = np.unique(vectors + 0.0, axis=0, return_index=True, return_inverse=True)
+    same = first[of.ravel()]
+    tops = np.unique(same)
+    x = _metric(vectors[tops], norm2)
+    square = (x * x).sum(1)
+    radius = TIGHT * 2 * float(square.mean())
+    dense = np.zeros(len(tops), bool)
+    for a in range(0, len(tops), 512):
+        d = square[a : a + 512, None] + square[None, :] - 2 * x[a : a + 512] @ x.T
+        dense[a : a + 512] = (d <= radius).sum(1) > candidates
+    lead = np.full(len(tops), -1)
+    for v in np.flatnonzero(dense):
+        if lead[v] < 0:
+            near = (lead < 0) & (square + square[v] - 2 * x @ x[v] <= radius)
+            lead[near], lead[v] = v, v
+    lead = np.where(lead < 0, np.arange(len(tops)), lead)
+    return tops[lead][np.searchsorted(tops, same)]
+
+
+def _long(own: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """LONG positions for each vector: before and after it on a random ring, and the nearest two of random samples, each an eighth of the one before."""
+    n = len(own)
+    ring = np.random.RandomState(n).permutation(n)
+    at = np.empty(n, int)
+    at[ring] = np.arange(n)
+    out = [ring[(at + 1) % n][:, None], ring[at - 1][:, None]]
+    for scale in range(1, LONG // 2):
+        some = ring[: max(3, n >> 3 * scale)]
+        near = np.empty((n, min(2, len(some))), int)
+        for a in range(0, n, 512):
+            d = square[some] - 2 * own[a : a + 512] @ own[some].T
+            d[some[None, :] == np.arange(a, min(a + 512, n))[:, None]] = np.inf
+            near[a : a + 512] = some[np.argpartition(d, near.shape[1] - 1, axis=1)[:, : near.shape[1]]]
+        out.append(near)
+    out = np.hstack(out)
+    out[out == np.arange(n)[:, None]] = -1
+    return np.pad(out, ((0, 0), (0, LONG - out.shape[1])), constant_values=-1)
+
+
 def build_layer(x: np.ndarray, members: np.ndarray, width: int, candidates: int) -> np.ndarray:
-    """Neighbour positions, len(members) rows of ``width``."""
+    """Neighbour positions, len(members) rows of ``width`` and LONG."""
     n = len(members)
     own = x[members]
     square = (own * own).sum(1)
     c = min(candidates, n - 1)
     if c <= 0:
-        return np.full((n, width), -1, np.int32)
+        return np.full((n, width + LONG), -1, np.int32)
     half = width // 2
     out = np.full((n, half), -1, np.int64)
     for a in range(0, n, 512):
@@ -107,13 +167,13 @@ def build_layer(x: np.ndarray, members: np.ndarray, width: int, candidates: int)
         d = square[c_] + square[v] - 2 * own[c_] @ own[v]
         order = np.argsort(d, kind="stable")[: 4 * width]
         final[v] = _thin(own, c_[order][None, :], d[order][None, :], width)[0]
+    final = np.hstack((final, _long(own, square)))
     return np.where(final >= 0, members[np.maximum(final, 0)], -1).astype(np.int32)
 
 
 def build_graph(ids: np.ndarray, vectors: np.ndarray, norm2: float, m: int = M) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(members, neighbours) of each level, the lowest first; every level but the lowest has m neighbours, that 2m."""
-    more = np.sqrt(np.maximum(norm2 - (vectors * vectors).sum(1), 0))
-    x = np.hstack((vectors, more[:, None])).astype(np.float32)
+    """(members, neighbours) of each level, the lowest first; every level but the lowest has m neighbours, that 2m, and all have LONG more."""
+    x = _metric(vectors, norm2)
     levels = _level(ids, m)
     out = []
     for level in range(levels.max() + 1):
@@ -162,7 +222,7 @@ def search_graph(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]
         if not len(live):
             break
         opened[live[:, None], pick] = True
-        near = np.where(good[:, :, None], table[np.maximum(beam[live[:, None], pick], 0)], -1).reshape(len(live), step * width)
+        near = np.where(good[:, :, None], table[np.where(good, beam[live[:, None], pick], 0)], -1).reshape(len(live), step * width)
         near = np.where(near < 0, n, near)
         near = np.sort(near, axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = n
@@ -186,11 +246,16 @@ def _built(norm2: float, m: int):
         pdf = pdf.sort_values("vec_id")
         ids = pdf["vec_id"].to_numpy(np.int64)
         vectors = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(len(ids), -1)
-        layers = build_graph(ids, vectors, norm2, m)
+        lead = leaders(vectors, norm2, 3 * m)
+        tops = np.flatnonzero(lead == np.arange(len(ids)))
+        layers = build_graph(ids[tops], vectors[tops], norm2, m)
+        lower = [b""] * len(ids)
+        for v, row in zip(tops, layers[0][1], strict=True):
+            lower[v] = row.tobytes()
         upper: list[list[np.ndarray]] = [[] for _ in ids]
         level = np.zeros(len(ids), int)
         for members, table in layers[1:]:
-            for v, row in zip(members, table, strict=True):
+            for v, row in zip(tops[members], table, strict=True):
                 upper[v].append(row)
                 level[v] += 1
         return pd.DataFrame(
@@ -198,9 +263,10 @@ def _built(norm2: float, m: int):
                 "shard": np.full(len(ids), key[0]),
                 "pos": np.arange(len(ids), dtype=np.int32),
                 "vec_id": ids,
+                "lead": lead.astype(np.int32),
                 "level": level.astype(np.int32),
                 "vector": list(pdf["vector"]),
-                "lower": [row.tobytes() for row in layers[0][1]],
+                "lower": lower,
                 "upper": [b"".join(r.tobytes() for r in u) for u in upper],
             }
         )
@@ -208,6 +274,19 @@ def _built(norm2: float, m: int):
     return built
 
 
+def _members(lead: np.ndarray, vectors: np.ndarray, copies: int) -> list[np.ndarray]:
+    """The positions of each node's vectors; of equal ones (which score the same) the first ``copies``, as no more can be a result."""
+    _, of = np.unique(vectors + 0.0, axis=0, return_inverse=True)
+    of = of.ravel()
+    order = np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[order], np.arange(of.max() + 1))
+    rank = np.empty(len(of), int)
+    rank[order] = np.arange(len(of)) - starts[of[order]]
+    used = np.flatnonzero(rank < copies)
+    used = used[np.argsort(lead[used], kind="stable")]
+    return np.split(used, np.flatnonzero(np.diff(lead[used])) + 1)
+
+
 def _searched(ef: int, k: int, m: int):
     def searched(key, nodes, queries):
         import pandas as pd
@@ -218,9 +297,13 @@ def _searched(ef: int, k: int, m: int):
         nodes = nodes.sort_values("pos")
         ids = nodes["vec_id"].to_numpy(np.int64)
         vectors = np.frombuffer(b"".join(nodes["vector"]), np.float64).reshape(len(ids), -1)
-        level = nodes["level"].to_numpy()
-        uppers = [np.frombuffer(u, np.int32).reshape(-1, m) for u in nodes["upper"]]
-        layers = [(np.arange(len(ids)), np.frombuffer(b"".join(nodes["lower"]), np.int32).reshape(len(ids), -1))]
+        lead = nodes["lead"].to_numpy()
+        tops = np.flatnonzero(lead == np.arange(len(ids)))
+        members_of = _members(lead, vectors, k + 1)
+        indexed = vectors[tops]
+        level = nodes["level"].to_numpy()[tops]
+        uppers = [np.frombuffer(u, np.int32).reshape(-1, m + LONG) for u in nodes["upper"].iloc[tops]]
+        layers = [(np.arange(len(tops)), np.frombuffer(b"".join(nodes["lower"]), np.int32).reshape(len(tops), -1))]
         for h in range(1, level.max() + 1):
             members = np.flatnonzero(level >= h)
             layers.append((members, np.array([uppers[v][h - 1] for v in members], np.int32)))
@@ -229,9 +312,9 @@ def _searched(ef: int, k: int, m: int):
         q = np.frombuffer(b"".join(queries["vector"]), np.float64).reshape(len(qids), -1)
         out = []
         for a in range(0, len(qids), 256):
-            found = search_graph(vectors, layers, q[a : a + 256], max(ef, k + 1))
+            found = search_graph(indexed, layers, q[a : a + 256], max(ef, k + 1))
             for i, row in enumerate(found):
-                row = row[row >= 0]
+                row = np.concatenate([members_of[v] for v in row[row >= 0]])
                 row = row[ids[row] != qids[a + i]]
                 score = vectors[row] @ q[a + i]
                 order = np.lexsort((ids[row], -score))[:k]
@@ -277,7 +360,7 @@ def nearest(
     """(query_id, rank, vec_id, score): of each row of ``table`` that fits the condition ``queries`` (a column of vec_id), the k nearest others.
 
     shard: vectors of a graph, about; block: queries that are searched together;
-    m: neighbours of a vector; ef: candidates of a search.
+    m: neighbours of a node on the upper levels; ef: candidates of a search.
     """
     scratch = Scratch(table.sparkSession, "ann")
     vectors = scratch.keep(clean_vectors(table, vec_id, embedding).groupBy("vec_id").agg(F.min(F.struct("vector", "size", "norm2")).alias("v")).select("vec_id", "v.*"), "vectors")

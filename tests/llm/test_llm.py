@@ -298,6 +298,26 @@ def test_recall(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("spread", [0, 0.01, 0.2])
+def test_recall_with_copies(spark, spread):
+    r = np.random.RandomState(1)
+    x = r.normal(size=(4000, 24))
+    group = np.arange(4000) % 3 == 0
+    x[group] = 1.5 * x[0] + spread * r.normal(size=(group.sum(), 24))
+    t = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for f in ann.nearest(t, lambda i: i % 20 == 0, shard=2000).collect():
+        found[f.query_id].append(f.score)
+    shares = []
+    for q in range(0, 4000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-20]
+        assert len(found[q]) == 20
+        shares.append(sum(s >= least - 1e-9 for s in found[q]) / 20)
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.5
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
