@@ -30,8 +30,11 @@ one set only holds (nearly all) fill most prefixes and are never listed. To find
 them, shingles travel packed, sorted by hash range, to tasks that return the
 shared ones to their sets, packed likewise. A shingle that is frequent within one
 portion of texts is not sent there; it is marked, comes last in the order, and is
-listed only for sets that consist of such shingles. Lists are grouped by
-pre-aggregated minima and joins that can be split, so none meets in one task.
+listed only for sets that consist of such shingles. One pass decides which are,
+and sends its entries of both kinds through one exchange; texts that come out of
+a shuffle are written first, as their order may change if a lost task runs again.
+Lists are grouped by pre-aggregated minima and joins that can be split, so none
+meets in one task.
 
 Defined cases: null and empty texts, and texts of white space, have the empty set
 and link with nothing; identical sets are one class from the start; rows with a
@@ -146,12 +149,16 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-def _packed(bits: int) -> Callable:
-    """(bucket, keys, of, sets): the entries of shingles that are not frequent here, with a list of their sets; of each that is, a mark without a set."""
+def _packed(bits: int, parts: int) -> Callable:
+    """(bucket, keys, of, sets, marks): the entries of shingles that are not frequent here, with a list of their sets; of each that is, a mark without a set.
+
+    Under -1 - part, the entries of the frequent ones, by set.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, of, sets in _portions(batches):
             often = _often(keys)
+            out = [(-1 - part, k, b"", s, False) for part, k, s, _ in _by_set(keys[often], sets[of[often]], np.zeros(int(often.sum()), np.uint32), parts)]
             marks = np.unique(keys[often])
             keys, of = np.concatenate((keys[~often], marks)), np.concatenate((of[~often], np.full(len(marks), len(sets), np.uint32)))
             order = np.argsort(keys, kind="stable")
@@ -159,7 +166,6 @@ def _packed(bits: int) -> Callable:
             bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             named = np.append(sets, 0)
-            out = []
             for a, b in zip(at, np.append(at[1:], len(keys))[: len(at)], strict=True):
                 used, own = np.unique(of[a:b], return_inverse=True)
                 own = own.astype(np.uint16 if len(used) < 65536 else np.uint32)
@@ -180,10 +186,13 @@ def _by_set(keys: np.ndarray, sets: np.ndarray, often: np.ndarray, parts: int):
 
 
 def _shared(parts: int) -> Callable:
-    def shared(_key, pdf):
-        """Of one hash range, the entries of shingles that several sets hold or that are marked, with the number of sets."""
+    def shared(key, pdf):
+        """Of one hash range, the entries of shingles that several sets hold or that are marked, with the number of sets. Frequent ones go on as they are."""
         import pandas as pd
 
+        if key[0] < 0:
+            often = [np.full(len(s) // 8, _MANY, np.uint32).tobytes() for s in pdf["sets"]]
+            return pd.DataFrame({"part": np.full(len(pdf), -1 - key[0], np.int64), "keys": pdf["keys"], "sets": pdf["sets"], "often": often})
         keys, sets, none = [], [], []
         for k, of, named, marks in zip(pdf["keys"], pdf["of"], pdf["sets"], pdf["marks"], strict=True):
             k, named = _unplaned(k), np.frombuffer(named, np.int64)
@@ -217,17 +226,6 @@ def _shared(parts: int) -> Callable:
     return shared
 
 
-def _frequent(parts: int) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, of, sets in _portions(batches):
-            often = _often(keys)
-            out = _by_set(keys[often], sets[of[often]], np.full(int(often.sum()), _MANY, np.uint32), parts)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "sets", "often"])
-
-    return rows
-
-
 def _prefixes(num: int, den: int) -> Callable:
     def prefixes(_key, blobs, sets):
         """(set_id, n, keep, shared): the shingles of a set that another one holds, rarest first; ``keep`` of them are in its extended prefix."""
@@ -263,9 +261,9 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, nu
     bits = max(3, int(np.ceil(np.log2((total or 0) / BUCKET + 1))))
     parts = max(8, (count or 0) // PART_SETS)
     texts = id_text(docs, doc_id, text)
-    packed = texts.mapInArrow(_packed(bits), "bucket long, keys binary, of binary, sets binary, marks boolean")
+    packed = texts.mapInArrow(_packed(bits, parts), "bucket long, keys binary, of binary, sets binary, marks boolean")
     schema = "part long, keys binary, sets binary, often binary"
-    listed = packed.groupBy("bucket").applyInPandas(_shared(parts), schema).union(texts.mapInArrow(_frequent(parts), schema))
+    listed = packed.groupBy("bucket").applyInPandas(_shared(parts), schema)
     sizes = sets.filter("n > 0").select("set_id", "n").distinct()
     sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
     return listed.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
@@ -396,6 +394,13 @@ def _listed(found: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("y", "token").alias("key"), "x", "n", "alone", "failed")
 
 
+def _settled(scratch: Scratch, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs, written first if they come out of a shuffle."""
+    if "Exchange" not in docs._jdf.queryExecution().executedPlan().toString():
+        return docs
+    return scratch.keep(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), "docs")
+
+
 def similarity_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -413,6 +418,7 @@ def similarity_classes(
     are left are. limit: the boundary between small and large sets; by cost if None.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
+    docs = _settled(scratch, docs, doc_id, text)
     table = scratch.keep(document_sets(docs, doc_id, text), "sets")
     clash = table.filter("n > 0").groupBy("set_id").agg((F.min("check") != F.max("check")).alias("bad"), F.min("id").alias("rep"))
     reps = clash.select("set_id", "rep")

@@ -88,6 +88,28 @@ def test_classes_edges(spark):
     assert found == [(-1, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4)]
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_frequent_shingles_are_decided_once(spark, tmp_path, shuffled):
+    """The third reading of docs meets the rows in another order, in which no portion has the shared shingles too often."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for _ in batches:
+            r = np.random.RandomState(5)
+            (tmp_path / f"{len(list(tmp_path.iterdir()))}").touch()
+            base = " ".join(f"w{k}" for k in range(60))
+            texts = [(k, f"{base} own{k}") for k in range(100)]
+            long = (1000, " ".join(map(str, r.randint(0, 10**6, 1_050_000))))
+            texts = [*texts, long] if len(list(tmp_path.iterdir())) < 3 else [*texts[:50], long, *texts[50:]]
+            yield pd.DataFrame(texts, columns=["doc_id", "text"])
+
+    docs = spark.range(1, numPartitions=1).mapInPandas(rows, "doc_id long, text string")
+    found = ngram_join.similarity_classes(docs.repartition(2, "doc_id") if shuffled else docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: 0 for k in range(100)} | {1000: 1000}
+    assert len(list(tmp_path.iterdir())) == (1 if shuffled else 2)
+
+
 def test_shingles_and_long_texts(monkeypatch):
     text = "A b " * 5000 + "c"
     whole = next(textvec.word_hashes([text]))[1][0]
