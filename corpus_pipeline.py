@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cubeline.llm import exact_dedup, ngram_join, packing, pii, quality
 from cubeline.llm.scratch import Scratch
@@ -27,8 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of similar texts."""
-    classes = ngram_join.similarity_classes(docs)
-    return exact_dedup.without_ids(docs, classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return ngram_join.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

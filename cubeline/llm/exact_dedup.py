@@ -22,6 +22,8 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,18 +87,50 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """docs without the rows that do not stay; of rows that repeat an id and a text one stays. Rows without an id stay."""
-    found = exact_dedup(docs, doc_id, text, runs, fan_in)
-    out = without_ids(docs, found.filter("not kept").select("doc_id"), doc_id)
-    entries = digests(docs, 1, doc_id, text)
-    repeated = entries.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__twice"))
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, F.col(f"`{doc_id}`").cast("long") == F.col("__twice"), "left_semi").dropDuplicates([doc_id, text])
-    return without_ids(out, repeated, doc_id).union(once)
+    """docs without the rows that do not stay; of rows that repeat an id (or have none) and a text, the one with the most characters stays."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    entries = scratch.keep(digests(docs, runs, doc_id, text), "entries")
+    top = merge_rounds(entries, runs, fan_in)
+    top = top.select(*KEY, F.when(F.col("best.known"), -F.col("best.neg")).alias("keep_id"))
+    rows = entries.groupBy("run", "id", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    winners = rows.select("run", *KEY).distinct().join(top, KEY)
+    rows = rows.join(winners, ["run", *KEY]).withColumn("stays", F.col("id").eqNullSafe(F.col("keep_id")))
+
+    def keyed(some: DataFrame) -> DataFrame:
+        t = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, "")
+        return some.withColumns({"__sha": F.unhex(F.sha2(t, 256)), "__check": F.xxhash64(t), "__length": F.length(t)})
+
+    return staying_rows(scratch, docs, rows, KEY, keyed, doc_id, text)
+
+
+def staying_rows(scratch: Scratch, docs: DataFrame, rows: DataFrame, key: list[str], keyed: Callable[[DataFrame], DataFrame], doc_id: str, text: str) -> DataFrame:
+    """docs without the rows that do not stay, and of each (id, *key) with one row, that with the most characters; all rows whose key is null.
+
+    rows: (id, *key, n, stays), each id and key once, n rows of docs. keyed adds the
+    key to documents, names behind ``__``; it is asked for ids only that several rows
+    have, or for rows without an id, as others are known by their id.
+    """
+    rows = scratch.keep(rows.select("id", *key, "n", "stays"), "rows")
+    several = scratch.keep(rows.groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1 or id is null").select("id"), "several")
+    if several.isEmpty():
+        return without_ids(docs, rows.filter("not stays").select("id"), doc_id)
+    own = F.col(f"`{doc_id}`").cast("long")
+    gone = rows.filter("not stays").select("id").union(several).distinct()
+    plain = without_ids(docs.filter(own.isNotNull()), gone, doc_id)
+    twice = several.select(F.col("id").alias("__several"))
+    again = keyed(docs.filter(own.isNull()).union(docs.join(twice, own == F.col("__several"), "left_semi"))).withColumn("__id", own)
+    names = [f"__{k}" for k in key]
+    stay = rows.filter("stays").select(F.col("id").alias("__stays"), *(F.col(k).alias(f"__s_{k}") for k in key))
+    same = F.col("__id").eqNullSafe(F.col("__stays"))
+    for k in key:
+        same &= F.col(f"__{k}") == F.col(f"__s_{k}")
+    most = F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.col(f"`{text}`")))
+    one = again.join(stay, same, "left_semi").groupBy("__id", *names).agg(most.alias("__row")).select("__row.*")
+    return plain.union(one).union(again.filter(F.col(names[0]).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """docs without the ids in the first column of ``ids``; rows without an id stay."""
     gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
+    # ids grow with docs: shuffled at any size, never broadcast while they are few
+    return docs.join(gone.hint("merge"), F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")

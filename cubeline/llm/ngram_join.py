@@ -51,9 +51,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import blocks, id_text
 from .components import components
+from .exact_dedup import staying_rows
 from .scratch import Scratch
 from .textvec import mix, shingles, word_hashes
 
@@ -418,10 +420,63 @@ def similarity_classes(
     are left are. limit: the boundary between small and large sets; by cost if None.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
-    docs = _settled(scratch, docs, doc_id, text)
+    table, links = _links(scratch, _settled(scratch, docs, doc_id, text), doc_id, text, num, den, short_list, levels, limit)
+    reps = _sets(table).select("set_id", F.col("id").alias("rep"))
+    named = reps.filter("rep is not null")
+    edges = links.join(named.select(F.col("set_id").alias("x"), F.col("rep").alias("a")), "x").join(named.select(F.col("set_id").alias("y"), F.col("rep").alias("b")), "y")
+    classes = scratch.keep(components(scratch, edges.select("a", "b")), "classes")
+    _verify(table)
+    rep = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    out = table.select("id", "set_id", "n").join(rep, "set_id", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """docs with one row, that of the smallest id (one without an id only if no other is), of each class of similar texts.
+
+    Classes are of sets, not of ids: an id that repeats with other texts does not
+    join their classes. Texts without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    table, links = _links(scratch, _settled(scratch, docs, doc_id, text), doc_id, text, num, den)
+    classes = scratch.keep(components(scratch, links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "classes")
+    _verify(table)
+    first = _sets(table).join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
+    first = first.groupBy(F.coalesce("component", "set_id").alias("class")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "set_id")).alias("f"))
+    first = first.select(F.col("f.id").alias("__id"), F.col("f.set_id").alias("__set"))
+    rows = table.groupBy("id", "set_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(first, F.col("id").eqNullSafe(F.col("__id")) & (F.col("set_id") == F.col("__set")), "left")
+    rows = rows.withColumn("stays", F.col("set_id").isNull() | F.col("__set").isNotNull())
+
+    def keyed(some: DataFrame) -> DataFrame:
+        at = some.columns.index(text)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingles(w) for _, block in word_hashes([t or "" for t in batch.column(at).to_pylist()]) for w in block]
+                key = pa.array([_identity(s, _IDS) if len(s) else None for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, key], names=[*batch.schema.names, "__set_id"])
+
+        return some.mapInArrow(add, T.StructType([*some.schema.fields, T.StructField("__set_id", T.LongType())]))
+
+    return staying_rows(scratch, docs, rows, ["set_id"], keyed, doc_id, text)
+
+
+def _sets(table: DataFrame) -> DataFrame:
+    """(set_id, id): each set with its smallest id."""
+    return table.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("id"))
+
+
+def _verify(table: DataFrame) -> None:
+    if not table.filter("n > 0").groupBy("set_id").agg((F.min("check") != F.max("check")).alias("bad")).filter("bad").isEmpty():
+        raise RuntimeError("two different shingle sets have the same 64-bit identity")
+
+
+def _links(
+    scratch: Scratch, docs: DataFrame, doc_id: str, text: str, num: int, den: int, short_list: int = SHORT_LIST, levels: int = 6, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The table of document_sets, and (x, y): pairs of sets that link, as many as their classes need."""
     table = scratch.keep(document_sets(docs, doc_id, text), "sets")
-    clash = table.filter("n > 0").groupBy("set_id").agg((F.min("check") != F.max("check")).alias("bad"), F.min("id").alias("rep"))
-    reps = clash.select("set_id", "rep")
     prefixes = scratch.keep(shared_shingles(docs, table, doc_id, text, num, den), "prefixes")
     limit = boundary(prefixes, num, den) if limit is None else limit
     entries = list_entries(prefixes, limit, num, den).withColumn("band", F.expr(_BAND))
@@ -448,11 +503,4 @@ def similarity_classes(
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
-    named = reps.filter("rep is not null")
-    edges = edges.join(named.select(F.col("set_id").alias("x"), F.col("rep").alias("a")), "x").join(named.select(F.col("set_id").alias("y"), F.col("rep").alias("b")), "y")
-    classes = scratch.keep(components(scratch, edges.select("a", "b")), "classes")
-    if not clash.filter("bad").isEmpty():
-        raise RuntimeError("two different shingle sets have the same 64-bit identity")
-    rep = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = table.select("id", "set_id", "n").join(rep, "set_id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return table, edges

@@ -133,6 +133,18 @@ def test_exact_dedup(spark):
     assert sorted(r[0] or -1 for r in left) == [-1, 2, 3]
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rows = [(1, "a"), (1, "quite other"), (2, "a "), (4, "b"), (4, "b\t"), (5, None), (None, "b"), (None, "c"), (None, "c ")]
+    left = [(r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(table(spark, rows)).collect()]
+    assert sorted(left, key=str) == sorted([(1, "quite other"), (2, "a "), (4, "b\t"), (5, None), (None, "c ")], key=str)
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(2, a), (2, b), (1, f"{a} x"), (9, f"{b} x"), (7, "c d"), (7, "c  D"), (8, "e"), (None, f"{a} y"), (None, "f"), (3, None), (3, " ")]
+    near = ngram_join.drop_near_duplicates(table(spark, rows))
+    assert near.columns == table(spark, rows).columns
+    left = [(r.doc_id, r.text) for r in near.collect()]
+    assert sorted(left, key=str) == sorted([(1, f"{a} x"), (2, b), (7, "c  D"), (8, "e"), (None, "f"), (3, None), (3, " ")], key=str)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
