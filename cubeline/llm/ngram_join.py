@@ -75,7 +75,6 @@ _MANY = np.uint32(0xFFFFFFFF)
 SHORT_LIST = 32
 _SUBSET = np.uint64(0xA0761D6478BD642F)
 _IDS, _CHECKS = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
-_BAND = "cast(floor(ln(n) / ln(1.25D) + 1e-9D) as int)"
 
 
 def least_overlap(x, y, num: int = NUMERATOR, den: int = DENOMINATOR):
@@ -83,6 +82,11 @@ def least_overlap(x, y, num: int = NUMERATOR, den: int = DENOMINATOR):
     return -(-num * (x + y) // (num + den))
 
 
+def _band(num: int, den: int) -> str:
+    """Sets that may link lie in one band or in two next to each other."""
+    return f"cast(floor(ln(n) / ln({max(1.25, den / num)!r}D) + 1e-9D) as int)"
+
+
 def _prefix(n: int, num: int, den: int) -> int:
     return n + (-num * n // den) + 1  # n - ceil(num * n / den) + 1
 
@@ -295,7 +299,9 @@ def _entry_rows(limit: int, num: int, den: int) -> Callable:
             for s, n, keep, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 tokens = shared.values.to_numpy()[:keep].view(np.uint64)
                 # the prefix proper has one shingle less, unless the set has no more to extend it
-                found = [tokens[: _prefix(n, num, den) - n + len(shared)]] if n * den >= num * limit else []
+                # from 1/2 down, sets of at most den / num may link by one shingle, which no pair finds
+                single = n * den >= num * limit or (2 * num <= den and n * num <= den)
+                found = [tokens[: _prefix(n, num, den) - n + len(shared)]] if single else []
                 if n < limit:
                     i, j = np.triu_indices(len(tokens), 1)
                     low, high = np.minimum(tokens[i], tokens[j]), np.maximum(tokens[i], tokens[j])
@@ -479,7 +485,7 @@ def _links(
     table = scratch.keep(document_sets(docs, doc_id, text), "sets")
     prefixes = scratch.keep(shared_shingles(docs, table, doc_id, text, num, den), "prefixes")
     limit = boundary(prefixes, num, den) if limit is None else limit
-    entries = list_entries(prefixes, limit, num, den).withColumn("band", F.expr(_BAND))
+    entries = list_entries(prefixes, limit, num, den).withColumn("band", F.expr(_band(num, den)))
     entries = scratch.keep(entries.withColumn("band", F.explode(F.array("band", F.col("band") + 1))), "entries")
     links = []
     for level in range(levels):

@@ -81,6 +81,15 @@ def test_classes(spark, options, monkeypatch):
     assert len(found) == len(rows)
 
 
+@pytest.mark.parametrize("num, den, short, long", [(60, 100, 10, 16), (1, 2, 1, 2), (1, 3, 1, 3), (80, 100, 8, 10)])
+def test_lower_thresholds(spark, num, den, short, long):
+    w = [f"w{k}" for k in range(long + 4)]
+    rows = [(1, " ".join(w[: short + 4])), (2, " ".join(w)), (3, "x y z")]
+    for limit in (None, 64):
+        found = ngram_join.similarity_classes(table(spark, rows), num=num, den=den, limit=limit).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {1: (short, 1), 2: (long, 1), 3: (1, 3)}
+
+
 def test_classes_edges(spark):
     assert ngram_join.similarity_classes(table(spark, [])).collect() == []
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)]
