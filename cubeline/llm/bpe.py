@@ -314,6 +314,10 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _decoded_digest(c: Codec, ids: list[int]) -> str:
+    return hashlib.sha256("".join(c.decode_stream(ids)).encode("utf-8")).hexdigest()
+
+
 def round_trip_digests(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """DIGESTS: a row for each document, encoded and decoded in one pass."""
     held = docs.sparkSession.sparkContext.broadcast(_file(ranks))
@@ -327,7 +331,7 @@ def round_trip_digests(docs: DataFrame, ranks: str, pattern: str, doc_id: str =
                 found = c.encode(t)
                 sizes.append(len(found))
                 of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, found)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(c.decode_bytes(found)).hexdigest())
+                of_bytes.append(_decoded_digest(c, found))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_text(docs, doc_id, text).mapInArrow(rows, DIGESTS)

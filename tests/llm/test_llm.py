@@ -224,6 +224,17 @@ def test_utf8_stream():
         assert "".join(s.push(b[k : k + 1]) for k in range(len(b))) + s.close() == b.decode("utf-8", "replace")
 
 
+def test_round_trip_decodes_by_the_stream(monkeypatch):
+    c = bpe.Codec(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    pushed = []
+    push = bpe.Utf8Stream.push
+    monkeypatch.setattr(bpe.Utf8Stream, "push", lambda self, data: pushed.append(data) or push(self, data))
+    for text in ("", "plain words", "é ü 東京 \U0001f600 x"):
+        pushed.clear()
+        assert bpe._decoded_digest(c, c.encode(text)) == hashlib.sha256(text.encode()).hexdigest()
+        assert b"".join(pushed) == text.encode()
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [*corpus(), (900, "<|endoftext|> x"), (901, "z" * 9000), (7777, words(random.Random(1), 2000))]
