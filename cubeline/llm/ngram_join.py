@@ -56,7 +56,7 @@ from pyspark.sql import types as T
 from .blocks import blocks, id_text
 from .components import components
 from .exact_dedup import staying_rows
-from .scratch import Scratch
+from .scratch import Scratch, settled
 from .textvec import mix, shingles, word_hashes
 
 NUMERATOR, DENOMINATOR = 80, 100
@@ -402,13 +402,6 @@ def _listed(found: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("y", "token").alias("key"), "x", "n", "alone", "failed")
 
 
-def _settled(scratch: Scratch, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs, written first if they come out of a shuffle."""
-    if "Exchange" not in docs._jdf.queryExecution().executedPlan().toString():
-        return docs
-    return scratch.keep(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), "docs")
-
-
 def similarity_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -426,7 +419,7 @@ def similarity_classes(
     are left are. limit: the boundary between small and large sets; by cost if None.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
-    table, links = _links(scratch, _settled(scratch, docs, doc_id, text), doc_id, text, num, den, short_list, levels, limit)
+    table, links = _links(scratch, settled(scratch, docs, doc_id, text), doc_id, text, num, den, short_list, levels, limit)
     reps = _sets(table).select("set_id", F.col("id").alias("rep"))
     named = reps.filter("rep is not null")
     edges = links.join(named.select(F.col("set_id").alias("x"), F.col("rep").alias("a")), "x").join(named.select(F.col("set_id").alias("y"), F.col("rep").alias("b")), "y")
@@ -444,7 +437,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     join their classes. Texts without words all stay.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    table, links = _links(scratch, _settled(scratch, docs, doc_id, text), doc_id, text, num, den)
+    table, links = _links(scratch, settled(scratch, docs, doc_id, text), doc_id, text, num, den)
     classes = scratch.keep(components(scratch, links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "classes")
     _verify(table)
     first = _sets(table).join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")

@@ -9,12 +9,15 @@ sequences with most room. The sequences opened have exactly the tokens that are
 to be packed: full ones, and for the last tokens one sequence for each power of
 two in their number, which needs no padding.
 
-Documents are dealt to packing groups by a hash of the id. The groups grow in
-number with the text, not in size; only remainders and checksums are shuffled.
-
-Defined cases: a null text counts as empty and packs as its end mark; rows that
-repeat an id are packed each; an empty table gives an empty result; other columns
-are ignored, whatever their names.
+Documents are dealt to packing groups by a hash of their place and remainder, so
+rows of one id, or without one, spread over all groups. The groups grow in number
+with the text, not in size; only remainders and checksums are shuffled. Texts that
+come out of a shuffle are written first, as their places may change if a lost task
+runs again.
+
+Defined cases: a null text counts as empty and packs as its end mark; a null id
+stays null; rows that repeat an id are packed each; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,58 +32,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, id_text
+from .scratch import Scratch, settled
 
 LENGTH = 2048
 #: Characters of text for each packing group, about.
 GROUP_CHARS = 6_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 END_ID = 1
+_FIELDS = [pa.field(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_PROBE = "Packing probe: it's 2024, don't  panic!\n\tnaïve café 東京 \x00<|endoftext|>."
-_ENCODERS: dict[str, object] = {}
-
+_ENCODERS: dict[tuple[int, bool], object] = {}
 
-def encoder(content: bytes):
-    """ids of texts, as the ``tokenizers`` library gives them without added special tokens.
 
-    For byte-level BPE whose merges are ranked by id, the same ids come faster
-    from a rank encoder; that is used only where both agree on a probe.
-    """
-    key = zlib.crc32(content)
+def encoder(content: bytes, ranked: bool):
+    """ids of texts, as the ``tokenizers`` library gives them without added special tokens; ranked: what is_ranked says of the content."""
+    key = (zlib.crc32(content), ranked)
     if key not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_str(content.decode())
         _ENCODERS.clear()
-        _ENCODERS[key] = _ranked(content, slow) or (lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)])
+        if ranked:
+            import public_tokenizers
+            import tiktoken
+
+            ranks, special = _ranks(json.loads(content))
+            fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            _ENCODERS[key] = lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+        else:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_str(content.decode())
+            _ENCODERS[key] = lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     return _ENCODERS[key]
 
 
-def _ranked(content: bytes, slow):
-    import public_tokenizers
-    import tiktoken
-
-    said = json.loads(content)
+def _ranks(said: dict) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(token bytes -> id, special tokens); a character that stands for no byte raises KeyError."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(kept))}
-    special = {t["content"]: t["id"] for t in said.get("added_tokens", [])}
-    vocabulary = {t: i for t, i in said["model"].get("vocab", {}).items() if t not in special}
-    if (said.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or not all(c in letters for t in vocabulary for c in t):
-        return None
-    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
-    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [fast.encode(t, allowed_special="all") for t in texts]
+    special = {t["content"]: t["id"] for t in said.get("added_tokens") or []}
+    return {bytes(letters[c] for c in t): i for t, i in said["model"]["vocab"].items() if t not in special}, special
 
-    return encode if encode([_PROBE])[0] == slow.encode(_PROBE, add_special_tokens=False).ids else None
 
+def is_ranked(content: bytes) -> bool:
+    """Whether merging the adjacent pair of least token id gives what the file's list of merges gives, for every text.
 
-def _tails(content: bytes, length: int, end_id: int):
-    """(id, tokens, crcs, tail): checksums of the full pieces, the ids of the rest."""
+    It does if the settings are those of plain byte-level BPE and, for each token
+    of more than a byte, merges of lesser ids alone bring its bytes to exactly the
+    pair that its own merge, the only one, is of, and ids rise with the merges: as
+    long as both ends of a token's bytes stand, what happens between them does not
+    depend on what is outside, so no other pair can ever come to make that token.
+    """
+    said = json.loads(content)
+    model, split = said.get("model") or {}, said.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True) and not said.get("normalizer")
+    added = said.get("added_tokens") or []
+    plain &= len(added) <= 1 and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain:
+        return False
+    try:
+        ranks, _ = _ranks(said)
+    except KeyError:
+        return False
+    if any(bytes((b,)) not in ranks for b in range(256)):
+        return False
+    of = {i: t for t, i in ranks.items()}
+    text_id, last = said["model"]["vocab"], -1
+    for merge in said["model"]["merges"]:
+        a, b = merge.split(" ") if isinstance(merge, str) else merge
+        if a not in text_id or b not in text_id or a + b not in text_id or text_id[a + b] <= last:
+            return False
+        last = text_id[a + b]
+        if last not in of or _merged(of[last], ranks, last) != [text_id[a], text_id[b]]:
+            return False
+    return len(said["model"]["merges"]) == sum(len(t) > 1 for t in ranks)
+
+
+def _merged(token: bytes, ranks: dict[bytes, int], below: int) -> list[int]:
+    """The ids that merges of lesser ids bring the token's bytes to."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 1:
+        best, at = min((ranks.get(parts[k] + parts[k + 1], below), k) for k in range(len(parts) - 1))
+        if best >= below:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def _tails(content: bytes, ranked: bool, length: int, end_id: int):
+    """(id, row, tokens, crcs, tail, wide): the row's number in its partition, checksums of the full pieces, the ids of the rest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(content)
+        encode, row = encoder(content, ranked), 0
         for ids, texts in blocks(batches):
             tokens, crcs, tails = [], [], []
             for found in encode(texts):
@@ -91,9 +133,10 @@ def _tails(content: bytes, length: int, end_id: int):
                 tails.append((x[full:].astype("<u2") if x.max(initial=0) < 65536 and len(x) > full else x[full:]).tobytes())
             wide = [len(t) == 4 * (n % length) for t, n in zip(tails, tokens, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(wide, pa.bool_())],
-                names=["id", "tokens", "crcs", "tail", "wide"],
+                [pa.array(ids, pa.int64()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(wide, pa.bool_())],
+                names=["id", "row", "tokens", "crcs", "tail", "wide"],
             )
+            row += len(ids)
 
     return rows
 
@@ -132,26 +175,23 @@ def assign(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
 
 
 def _packed(length: int, linear: float, quadratic: float):
-    def rows(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["id", "tokens"], kind="stable")
-        group, columns = int(key[0]) << 40, []
-        number = 0
-        tails = [np.frombuffer(t, "<u4" if w else "<u2").astype("<u4") for t, w in zip(pdf["tail"], pdf["wide"], strict=True)]
-        ids, tokens = [None if pd.isna(i) else int(i) for i in pdf["id"]], [int(n) for n in pdf["tokens"]]
-        for i, n, crcs in zip(ids, tokens, pdf["crcs"], strict=True):
+    def rows(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in _FIELDS})
+        # plain ints and None: a column with nulls must not become floating
+        held = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "tokens", "row", "crcs", "tail", "wide")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, *r[1:3], r[4]))
+        group, columns, number = table.column("pack")[0].as_py() << 40, [], 0
+        tails = [np.frombuffer(r[4], "<u4" if r[5] else "<u2").astype("<u4") for r in held]
+        for i, n, _, crcs, _, _ in held:
             for k, crc in enumerate(crcs):
-                columns.append((i, k * length, length, int(crc), n, group + number, 0))
+                columns.append((i, k * length, length, crc, n, group + number, 0))
                 number += 1
         some = [k for k, t in enumerate(tails) if len(t)]
         for d, start, n, s, offset in assign([len(tails[k]) for k in some], length, linear, quadratic):
             k = some[d]
-            full = tokens[k] - len(tails[k])
-            columns.append((ids[k], full + start, n, zlib.crc32(tails[k][start : start + n].tobytes()), tokens[k], group + number + s, offset))
-        out = pd.DataFrame(columns, columns=[c.split()[0] for c in PIECES.split(", ")])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+            i, tokens = held[k][:2]
+            columns.append((i, tokens - len(tails[k]) + start, n, zlib.crc32(tails[k][start : start + n].tobytes()), tokens, group + number + s, offset))
+        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_FIELDS, zip(*columns, strict=True), strict=True)})
 
     return rows
 
@@ -166,13 +206,15 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         raise ValueError("length must be a power of two")
     with open(tokenizer, "rb") as f:
         content = f.read()
-    chars = docs.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
-    groups = int(chars // group_chars) + 1
-    held = docs.sparkSession.sparkContext.broadcast(content)
+    docs = settled(Scratch(docs.sparkSession, "pack"), docs, doc_id, text)
+    size = docs.agg(F.sum(F.length(F.col(f"`{text}`"))), F.count(F.lit(1))).first()
+    groups = ((size[0] or 0) + size[1]) // group_chars + 1  # an end mark is a token too
+    held = docs.sparkSession.sparkContext.broadcast((content, is_ranked(content)))
 
     def tails(batches):
-        return _tails(held.value, length, end_id)(batches)
+        return _tails(*held.value, length, end_id)(batches)
 
-    rows = id_text(docs, doc_id, text).mapInArrow(tails, "id long, tokens long, crcs array<long>, tail binary, wide boolean")
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    return rows.groupBy("pack").applyInPandas(_packed(length, linear, quadratic), PIECES)
+    rows = id_text(docs, doc_id, text).mapInArrow(tails, "id long, row long, tokens long, crcs array<long>, tail binary, wide boolean")
+    # by row and content, not by id: rows of one id spread over all groups
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64("id", "row", "tail"), F.lit(groups)))
+    return rows.groupBy("pack").applyInArrow(_packed(length, linear, quadratic), PIECES)
