@@ -1,14 +1,18 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
 Texts are equal when they are identical without white space (``[\\x20\\x09-\\x0D]``).
-Every row is reduced to a digest entry; entries are dealt to ``runs`` runs by a
-hash of the id. In binomial rounds, ``fan_in`` runs at a time are merged: Spark
-sorts each run by digest, exchanges it, and a sort aggregate merges the sorted
-inputs, keeping of each digest only the entry that stays and a count. So at no
-level does a run hold a digest twice, however many copies there are, and every
-exchange is spread over the digests. Then the winners go back down to the runs:
-each (run, digest) receives one winner, and the rows look theirs up within their
-run, so a group of copies is spread over all runs there too.
+Every row is reduced to a digest entry and dealt to a run at random, so a group of
+copies, or of rows that repeat an id and a text, is spread over all runs. Their
+number grows with the rows. What is exchanged, and when:
+
+1. Entries go to (run, digest), pre-aggregated on the way: each run holds a digest
+   once, with the entry that stays and a count, however many copies there are.
+2. These go to their digest's partition, and are sorted once: by digest, then by
+   the place of their run in the tree. From here on partitions hold whole digests.
+3. In binomial rounds, ``fan_in`` runs at a time are merged. The order of (2) is
+   that of every round, so a round is a merge of sorted inputs that streams:
+   neither exchange nor sort. Each keeps the smallest identifier that it has seen.
+4. Winners go back down to (run, digest), where the run's rows look them up.
 
 Digests are verified: an entry carries a second, independent hash and the length
 of the normalised text beside the SHA-256, and only entries equal in all three
@@ -16,8 +20,9 @@ are merged.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; a row
 with a null id takes part, but stays only if its group has no id; rows that
-repeat an id and a text count in group_size and are reported once; an empty table
-gives an empty result; other columns are ignored, whatever their names.
+repeat an id and a text count in group_size and are reported as often as they
+come; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,15 +37,17 @@ from .scratch import Scratch
 #: The characters that do not count: space and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
 KEY = ["sha", "check", "length"]
+#: Rows of a run, about; and the least number of runs.
+RUN_ROWS, LEAST_RUNS = 1_000_000, 64
 
 
-def digests(docs: DataFrame, runs: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, run, sha, check, length, chars): a narrow entry for each row."""
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, salt, sha, check, length, chars): a narrow entry for each row; salt is as good as random."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     rows = rows.select("id", F.length("t").alias("chars"), F.translate("t", WHITE, "").alias("t"))
     return rows.select(
         "id",
-        F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int").alias("run"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
         F.unhex(F.sha2("t", 256)).alias("sha"),
         F.xxhash64("t").alias("check"),
         F.length("t").alias("length"),
@@ -54,29 +61,43 @@ def _best():
 
 
 def merge_rounds(entries: DataFrame, runs: int, fan_in: int) -> DataFrame:
-    """(sha, check, length, best, n): one run left, each digest once."""
+    """(sha, check, length, best, n): each digest once, merged from ``runs`` runs, ``fan_in`` at a time."""
     level = entries.groupBy("run", *KEY).agg(_best(), F.count(F.lit(1)).alias("n"))
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        level = level.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
-        level = level.groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    return level.drop("run")
+    places, width = [], 1
+    while width < runs:
+        width *= fan_in
+        places.insert(0, f"merged_{width}")
+        level = level.withColumn(places[0], F.expr(f"run div {width}"))
+    level = level.repartition(*KEY)
+    while places:
+        # grouped by a prefix of the order before: a streaming merge
+        level = level.groupBy(*KEY, *places).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+        places.pop()
+    return level.drop("run").groupBy(*KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+
+
+def _judged(scratch: Scratch, docs: DataFrame, doc_id: str, text: str, runs: int | None, fan_in: int) -> DataFrame:
+    """(id, sha, check, length, keep_id, group_size), a row for each document."""
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 at least")
+    entries = scratch.keep(digests(docs, doc_id, text), "entries")
+    runs = max(LEAST_RUNS, entries.count() // RUN_ROWS) if runs is None else runs
+    entries = entries.withColumn("run", F.pmod("salt", F.lit(runs))).drop("salt")
+    top = merge_rounds(entries, runs, fan_in)
+    top = top.select(*KEY, F.when(F.col("best.known"), -F.col("best.neg")).alias("keep_id"), F.col("n").alias("group_size"))
+    # both sides grow with docs: shuffled at any size, never broadcast while they are few
+    winners = entries.select("run", *KEY).distinct().join(top.hint("merge"), KEY)
+    return entries.select("run", "id", *KEY).join(winners.hint("merge"), ["run", *KEY]).drop("run")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int | None = None, fan_in: int = 8) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each document.
 
     Of equal texts the one with the most characters stays, then the smallest id.
-    runs: parts that a group of copies is spread over; raise it with the cluster.
-    fan_in: runs that are merged at once.
+    runs: parts that a group of copies is spread over, by the number of rows if
+    None. fan_in: runs that are merged at once.
     """
-    scratch = Scratch(docs.sparkSession, "dedup")
-    entries = scratch.keep(digests(docs, runs, doc_id, text), "entries")
-    top = merge_rounds(entries, runs, fan_in)
-    top = top.select(*KEY, F.when(F.col("best.known"), -F.col("best.neg")).alias("keep_id"), F.col("n").alias("group_size"))
-    rows = entries.groupBy("run", "id", *KEY).agg(F.max("chars").alias("chars"))
-    winners = rows.select("run", *KEY).distinct().join(top, KEY)
-    out = rows.join(winners, ["run", *KEY])
+    out = _judged(Scratch(docs.sparkSession, "dedup"), docs, doc_id, text, runs, fan_in)
     return out.select(
         F.col("id").alias("doc_id"),
         "keep_id",
@@ -86,15 +107,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int | None = None, fan_in: int = 8) -> DataFrame:
     """docs without the rows that do not stay; of rows that repeat an id (or have none) and a text, the one with the most characters stays."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    entries = scratch.keep(digests(docs, runs, doc_id, text), "entries")
-    top = merge_rounds(entries, runs, fan_in)
-    top = top.select(*KEY, F.when(F.col("best.known"), -F.col("best.neg")).alias("keep_id"))
-    rows = entries.groupBy("run", "id", *KEY).agg(F.count(F.lit(1)).alias("n"))
-    winners = rows.select("run", *KEY).distinct().join(top, KEY)
-    rows = rows.join(winners, ["run", *KEY]).withColumn("stays", F.col("id").eqNullSafe(F.col("keep_id")))
+    rows = _judged(scratch, docs, doc_id, text, runs, fan_in)
+    rows = rows.groupBy("id", *KEY).agg(F.count(F.lit(1)).alias("n"), F.first("keep_id").alias("keep_id"))
+    rows = rows.withColumn("stays", F.col("id").eqNullSafe(F.col("keep_id")))
 
     def keyed(some: DataFrame) -> DataFrame:
         t = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, "")
