@@ -40,7 +40,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(CONTROL_TEXT).alias("content")) for role in ("user", "assistant")))
     added = spark.range(1).select(F.to_json(F.struct(F.lit(-1).alias("id"), said.alias("messages"))).alias("record"))
     turns = chat.canonical_turns(records.union(added))
-    return chat.formatted_digests(chat.format_turns(turns))
+    return chat.formatted_digests(chat.format_turns(turns), ordered=True).drop("conv_key")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
