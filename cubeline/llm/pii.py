@@ -3,8 +3,11 @@
 One Aho-Corasick automaton finds anchors in a text: at-signs, scheme marks
 (``://``), plus signs, digits and identifier cues such as ``iban`` or
 ``password``. At each anchor a deterministic parser reads outwards to the span's
-bounds and validates it. Work is linear in the text: each kind keeps the end of
-its last span, and digits inside a run that was read start nothing new.
+bounds and validates it. Work is linear in the text: an anchor inside the last span
+of its kind is not parsed, digits inside a run that was read start nothing new, and
+what a parser reads in vain holds no other anchor that would read it again (an
+identifier ends at the mark that a cue needs before the next one, an address at
+the next scheme's slashes).
 
 Base kinds, as leftmost non-overlapping matches that are dropped if they fail:
 
@@ -150,11 +153,13 @@ def _account(t: str, at: int, after: int) -> tuple[int, int] | None:
     start = after
     while start < len(t) and start - after < 12 and t[start] in " :=#.":
         start += 1
+    if start == after:
+        return None
     end = _run(t, start, LABEL)
     while end > start and t[end - 1] == "-":
         end -= 1
     found = t[start:end]
-    return (start, end) if start > after and sum(c in ALNUM for c in found) >= 6 and any(c in DIGITS for c in found) else None
+    return (start, end) if sum(c in ALNUM for c in found) >= 6 and any(c in DIGITS for c in found) else None
 
 
 def _value(t: str, after: int) -> tuple[int, int] | None:
@@ -216,12 +221,15 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if found[1]:
                     out["phone"].append((at, found[0]))
         elif kind == ":":
-            add("url", _url(t, at, last + 1))
+            if at >= end["url"]:
+                add("url", _url(t, at, last + 1))
         elif kind == "a":
-            add("account", _account(t, at, last + 1))
+            if last >= end["account"]:
+                add("account", _account(t, at, last + 1))
         elif kind == "s":
-            add("secret", _value(t, last + 1))
-        elif _word_start(t, at):
+            if last + 1 >= end["secret"]:
+                add("secret", _value(t, last + 1))
+        elif at >= end["secret"] and _word_start(t, at):
             stop = _run(t, last + 1, ALNUM)
             add("secret", (at, stop) if stop - last - 1 == 16 and t[at:stop].upper() == t[at:stop] else None)
     return out
