@@ -6,8 +6,9 @@ characters, repeated words, lengths, line ends), which a small layer encodes.
 Gated attention (Ilse, Tomczak and Welling 2018) weighs the passages,
 ``a = softmax(w . (tanh(V h) * sigmoid(U h)))``, and a logistic unit scores the
 weighted sum. All layers are learned together from document labels, by Adam, on
-a sample of ``sample`` labelled documents (in order of a hash of the id) with at
-most ``bag`` passages each, evenly spaced; scoring reads every passage.
+every passage of a sample of labelled documents: at most ``sample`` documents with
+at most ``passages`` passages in all (see labelled.py). Scoring reads every passage,
+some at a time, with a running softmax.
 
 Only the text is an input. Rows that are held out are not learned from.
 
@@ -20,18 +21,19 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, id_text
-from .textvec import BLOCK, _cut, _words
+from .labelled import held_out, labelled_sample
+from .textvec import _cut, _words
 
 PASSAGE = 64
-SAMPLE, BAG = 6000, 64
+SAMPLE, PASSAGES = 6000, 1_000_000
 HIDDEN, GATE = 16, 12
 EPOCHS, BATCH, RATE = 24, 64, 0.01
 THRESHOLD = 0.3
@@ -45,12 +47,19 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
 N_FEATURES = _KINDS + 10
 
 
+def passage_blocks(text: str) -> Iterator[np.ndarray]:
+    """A row of N_FEATURES for each passage, block by block; one row if there are no words."""
+    none = True
+    for piece in _cut(text.encode("utf-8", "surrogatepass")):
+        if len(x := _piece_features(piece)):
+            none = False
+            yield x
+    if none:
+        yield np.zeros((1, N_FEATURES), np.float32)
+
+
 def passage_features(text: str) -> np.ndarray:
-    """A row of N_FEATURES for each passage; one row if there are no words."""
-    data = text.encode("utf-8", "surrogatepass")
-    parts = [_piece_features(piece) for piece in _cut(data)]
-    parts = [p for p in parts if len(p)]
-    return np.concatenate(parts) if parts else np.zeros((1, N_FEATURES), np.float32)
+    return np.concatenate(list(passage_blocks(text)))
 
 
 def _piece_features(data: bytes) -> np.ndarray:
@@ -164,43 +173,36 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return m | {"mean": mean, "scale": scale}
 
 
+def score_blocks(m: dict, blocks: Iterator[np.ndarray]) -> float:
+    """The score of one bag whose passages come in blocks."""
+    top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+    for x in blocks:
+        h = np.tanh((x - m["mean"]) / m["scale"] @ m["E"] + m["e"])
+        s = (np.tanh(h @ m["V"]) * _sigmoid(h @ m["U"])) @ m["w"]
+        higher = max(top, s.max())
+        a = np.exp(s - higher)
+        before = np.exp(top - higher)
+        total, z, top = total * before + a.sum(), z * before + a @ h, higher
+    return float(_sigmoid(z / total @ m["c"] + m["b"][0]))
+
+
 def score(model: dict, texts: list[str]) -> np.ndarray:
-    out = []
-    for text in texts:
-        x = (passage_features(text) - model["mean"]) / model["scale"]
-        out.append(forward(model, x, np.zeros(1, int))[0][0])
-    return np.array(out)
+    return np.array([score_blocks(model, passage_blocks(t)) for t in texts])
 
 
 # --- on tables ------------------------------------------------------------------------------------
 
 
-def held_out(doc_id: Column) -> Column:
-    """One id in five, by checksum."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in blocks(batches):
+        found = [passage_features(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "size", "data"])
 
 
-def _bags(bag: int) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            found = []
-            for t in texts:
-                x = passage_features(t)
-                found.append(x[np.unique(np.linspace(0, len(x) - 1, min(bag, len(x))).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "x"])
-
-    return rows
-
-
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> dict[str, np.ndarray]:
-    """The model from at most ``sample`` labelled documents that are not held out."""
-    rows = labels.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).dropna()
-    rows = rows.filter(~held_out(F.col("id"))).groupBy("id").agg(F.avg("y").alias("y"))
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = id_text(docs, doc_id, text).join(F.broadcast(rows.select("id")), "id")  # at most ``sample`` ids
-    bags = {r.id: np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in texts.mapInArrow(_bags(bag), "id long, x binary").collect()}
-    known = sorted((r.id, r.y) for r in rows.collect() if r.id in bags)
-    return fit([bags[i] for i, _ in known], np.array([y for _, y in known]))
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> dict[str, np.ndarray]:
+    """The model from labelled documents that are not held out: at most ``sample``, with at most ``passages`` in all."""
+    rows = labelled_sample(docs, labels, doc_id, text, (label,), sample, passages, _bags)
+    return fit([np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for _, x in rows], np.array([y for (y,), _ in rows]))
 
 
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
