@@ -3,16 +3,20 @@
 Categories are predicted one after the other (Read et al. 2011): the model of each
 sees the words of the text and the probabilities of all categories before it. In
 training these probabilities are out-of-fold predictions, so a later model learns
-from what an earlier one says about texts it has not seen.
+from what an earlier one says about texts it has not seen: a fold's terms, grades
+and models are made without its documents.
 
 A text is the set of its words (ASCII case and punctuation aside), hashed. Models
 are logistic regressions on the ``terms`` words that part the labelled texts most
-(by a z-score of their document counts), learned on at most ``sample`` labelled
-documents in order of a hash of the id, of each at most ``words`` distinct words;
-scoring reads whole texts.
+(by a z-score of their document counts), learned on a sample of labelled documents:
+at most ``sample`` documents with at most ``words`` distinct words in all (see
+labelled.py). Sampled and scored texts are read whole.
 
 Categories are label columns. ``graded`` derives finer ones from a single label,
-by how many of the label's typical words a document holds.
+by how many of the label's typical words a document holds. The threshold of the
+last category is chosen on documents that the whole procedure, terms and grades
+included, has not seen. Rows that are held out (one id in five) are not learned from
+at all, so that the result can be judged on them.
 
 Defined cases: null and empty texts have no words; an id with conflicting labels
 counts by their mean; null ids or labels are not learned from; a category with one
@@ -22,7 +26,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, id_text
+from .labelled import held_out, labelled_sample
 from .textvec import LETTERS, word_hashes
 
-SAMPLE, WORDS, TERMS, FOLDS = 6000, 4096, 256, 4
+SAMPLE, WORDS, TERMS, FOLDS = 6000, 8_000_000, 256, 3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -78,25 +83,51 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
         h = (x1 * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x1 + np.diag(penalty)
         step = np.linalg.solve(h, g)
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """(a model for each column of labels, fed the out-of-fold probabilities of those before it; the out-of-fold probabilities of all)."""
-    fold = np.arange(len(x)) % folds
-    models, earlier = [], np.zeros((len(x), 0))
+def fit_chain(words: list[np.ndarray], y: np.ndarray, terms: int = TERMS, folds: int = FOLDS, grade: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(terms, a model for each column of labels, fed the out-of-fold probabilities of those before it).
+
+    grade: y has one column, and is graded.
+    """
+    fold = np.arange(len(words)) % folds
+
+    def prepared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [words[k] for k in rows]
+        found, z = choose_terms(own, y[rows].any(1).astype(float), terms)
+        return found, graded(own, y[rows, 0], found, z) if grade else y[rows].astype(float)
+
+    whole, labels = prepared(np.arange(len(words)))
+    x = presence(words, whole)
+    parts = []
+    for f in range(folds):
+        rest, here = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        found, of_rest = prepared(rest)
+        parts.append((rest, here, presence(words, found), of_rest))
+    models, earlier = [], np.zeros((len(words), 0))
     for k in range(labels.shape[1]):
-        own, y = np.hstack((x, earlier)), labels[:, k]
-        models.append(fit_linear(own, y))
-        out = np.zeros(len(x))
-        for f in range(folds):
-            here = fold == f
-            if here.any():
-                out[here] = _apply(fit_linear(own[~here], y[~here]), own[here])
+        models.append(fit_linear(np.hstack((x, earlier)), labels[:, k]))
+        out = np.zeros(len(words))
+        for rest, here, own, of_rest in parts:
+            own = np.hstack((own, earlier))
+            out[here] = _apply(fit_linear(own[rest], of_rest[:, k]), own[here])
         earlier = np.hstack((earlier, out[:, None]))
-    return models, earlier
+    return whole, models
+
+
+def unseen(words: list[np.ndarray], y: np.ndarray, terms: int = TERMS, folds: int = FOLDS, grade: bool = False) -> np.ndarray:
+    """The probability of the last category for each document, by a chain that was fitted without it."""
+    # other folds than those within the chain
+    fold, out = np.arange(len(words)) // folds % folds, np.zeros(len(words))
+    for f in range(folds):
+        rest, here = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if len(here):
+            found, models = fit_chain([words[k] for k in rest], y[rest], terms, folds, grade)
+            out[here] = predict_chain(models, presence([words[k] for k in here], found))[:, -1]
+    return out
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -133,38 +164,29 @@ def graded(words: list[np.ndarray], y: np.ndarray, terms: np.ndarray, z: np.ndar
 CATEGORIES = ("strong", "mild", "toxic")
 
 
-def _distinct(most: int | None) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            for first, block in word_hashes(texts, LETTERS):
-                found = [np.unique(w)[:most].tobytes() for w in block]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(block)], pa.int64()), pa.array(found, pa.binary())], names=["id", "w"])
-
-    return rows
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in blocks(batches):
+        for first, block in word_hashes(texts, LETTERS):
+            found = [np.unique(w) for w in block]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(block)], pa.int64()), pa.array([len(w) for w in found], pa.int64()), pa.array([w.tobytes() for w in found], pa.binary())], names=["id", "size", "data"])
 
 
-def learn_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("toxic",), sample: int = SAMPLE, words: int = WORDS, terms: int = TERMS) -> dict:
+def learn_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", categories: tuple[str, ...] = ("toxic",), sample: int = SAMPLE, words: int = WORDS, terms: int = TERMS, hold_out: bool = True) -> dict:
     """{terms, models, names, threshold}: the chain over the label columns, in their order; a single one is graded.
 
-    threshold: of the last category, by the out-of-fold probabilities.
+    threshold: of the last category. hold_out: rows that are held out are not learned from.
     """
-    rows = labels.select(F.col(f"`{doc_id}`").cast("long").alias("id"), *(F.col(f"`{c}`").cast("double").alias(f"y{k}") for k, c in enumerate(categories))).dropna()
-    rows = rows.groupBy("id").agg(*(F.avg(f"y{k}").alias(f"y{k}") for k in range(len(categories))))
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = id_text(docs, doc_id, text).join(F.broadcast(rows.select("id")), "id")  # at most ``sample`` ids
-    held = {r.id: np.frombuffer(r.w, np.uint64) for r in texts.mapInArrow(_distinct(words), "id long, w binary").collect()}
-    known = sorted((r[0], r[1:]) for r in map(tuple, rows.collect()) if r[0] in held)
-    sets = [held[i] for i, _ in known]
-    y = np.array([v for _, v in known], float).reshape(len(known), len(categories)) > 0.5
-    found, z = choose_terms(sets, y.any(1).astype(float), terms)
-    labelled = graded(sets, y[:, 0].astype(float), found, z) if len(categories) == 1 else y.astype(float)
-    names = CATEGORIES[:-1] + categories if len(categories) == 1 else categories
-    models, out = fit_chain(presence(sets, found), labelled)
-    return {"terms": found, "models": models, "names": tuple(names), "threshold": best_threshold(out[:, -1], labelled[:, -1])}
+    rows = labelled_sample(docs, labels, doc_id, text, tuple(categories), sample, words, _distinct, hold_out)
+    sets = [np.frombuffer(w, np.uint64) for _, w in rows]
+    y = np.array([v for v, _ in rows], float).reshape(len(rows), len(categories)) > 0.5
+    grade = len(categories) == 1
+    found, models = fit_chain(sets, y, terms, grade=grade)
+    names = CATEGORIES[:-1] + tuple(categories) if grade else tuple(categories)
+    return {"terms": found, "models": models, "names": names, "threshold": best_threshold(unseen(sets, y, terms, grade=grade), y[:, -1].astype(float))}
 
 
 def score_toxicity(docs: DataFrame, chain: dict, doc_id: str = "doc_id", text: str = "text", threshold: float | None = None) -> DataFrame:
-    """(doc_id, p_<category> of each, predicted): the last category decides, by the learned threshold if none is given."""
+    """(doc_id, held_out, p_<category> of each, predicted): the last category decides, by the learned threshold if none is given."""
     columns = [f"p_{n}" for n in chain["names"]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +196,5 @@ def score_toxicity(docs: DataFrame, chain: dict, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(block)], pa.int64()), *(pa.array(c) for c in p.T)], names=["doc_id", *columns])
 
     scored = id_text(docs, doc_id, text).mapInArrow(rows, "doc_id long, " + ", ".join(f"`{c}` double" for c in columns))
+    scored = scored.withColumn("held_out", held_out(F.col("doc_id")))
     return scored.withColumn("predicted", (F.col(f"`{columns[-1]}`") >= (chain["threshold"] if threshold is None else threshold)).cast("int"))
