@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -532,20 +533,123 @@ def test_quality(spark):
         m[k][at] += 1e-5
 
 
+def brute_quality(model, text):
+    """Score of a text: passages of 64 words or so, features by counting, attention by loops."""
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\n", " \t\r\x0b\x0c", ".", ",", "!?;:", "|", "'\"-", "()[]{}<>"]
+
+    def kind(byte):
+        return 12 if byte > 127 else next((k for k, chars in enumerate(kinds) if chr(byte) in chars), 11)
+
+    data = text.encode()
+    found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    n = len(found)
+    count = max(1, round(n / 64))
+    first = [k * n // count for k in range(count)] + [n]
+    rows = []
+    for k in range(count if n else 0):
+        own = found[first[k] : first[k + 1]]
+        chars = [kind(b) for b in data[own[0][0] if k else 0 : found[first[k + 1]][0] if k + 1 < count else len(data)]]
+        w = [data[a:b] for a, b in own]
+        m = len(w)
+        before = [data[slice(*found[j - 1])] if j else None for j in range(first[k], first[k + 1])]
+        rows.append(
+            [chars.count(c) / len(chars) for c in range(13)]
+            + [sum(map(len, w)) / m / 10, sum(len(x) <= 3 for x in w) / m, sum(len(x) >= 12 for x in w) / m, sum(x == y for x, y in zip(w, before, strict=True)) / m, len(set(w)) / m]
+            + [sum(kind(x[0]) == 1 for x in w) / m, sum(kind(x[-1]) in (5, 6, 7) for x in w) / m, sum(kind(x[-1]) == 11 for x in w) / m, sum(len(x) == 1 and kind(x[0]) >= 5 for x in w) / m, math.log1p(m) / 5]
+        )
+    rows = rows or [[0.0] * quality.N_FEATURES]
+    encoded, weights = [], []
+    for row in rows:
+        x = [(np.float32(v) - a) / b for v, a, b in zip(row, model["mean"], model["scale"], strict=True)]
+        h = [math.tanh(sum(v * model["E"][i][j] for i, v in enumerate(x)) + model["e"][j]) for j in range(quality.HIDDEN)]
+        gates = [(math.tanh(sum(v * model["V"][i][g] for i, v in enumerate(h))), 1 / (1 + math.exp(-sum(v * model["U"][i][g] for i, v in enumerate(h))))) for g in range(quality.GATE)]
+        encoded.append(h)
+        weights.append(math.exp(sum(t * g * w for (t, g), w in zip(gates, model["w"], strict=True))))
+    z = [sum(a * h[j] for a, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(v * c for v, c in zip(z, model["c"], strict=True)) - model["b"][0]))
+
+
+def test_quality_scores_by_brute_force(spark):
+    r = random.Random(2)
+    texts = ["", "one", "A b. C, d! e | f (g) 'h' 12 é\n\n xyz xyz", words(r, 500), "\n ".join(words(r, 3) + r.choice(".,;:") for _ in range(200)), "long" * 300 + " é" * 200, " x"]
+    docs = table(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, quality int")
+    model = quality.learn(docs, labels, passages=10**4)
+    assert model["scale"].max() > 0.01  # something was learned
+    rows = [*enumerate(texts), (1, "one"), (None, None)]
+    got = quality.score_quality(table(spark, rows), model).collect()
+    assert sorted((g.doc_id or -1, round(g.score, 6)) for g in got) == sorted((i or -1, round(brute_quality(model, t or ""), 6)) for i, t in rows)
+    assert quality.score_quality(table(spark, []), model).collect() == []
+    # a text of several blocks is scored as a whole
+    text = words(r, 2000)
+    whole = np.concatenate(list(quality.passage_blocks(text)))
+    assert quality.score_blocks(model, iter([whole[:5], whole[5:6], whole[6:]])) == pytest.approx(quality.score_blocks(model, iter([whole])), abs=1e-12)
+
+
+def test_samples_are_whole_texts_in_bounds(spark):
+    r = random.Random(3)
+    rows = [(k, words(r, 64 * (1 + k % 7))) for k in range(100)] + [(100, words(r, 64 * 900)), (3, "a a"), (None, "x")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(101)] + [(4, 1), (None, 1)], "doc_id long, quality int")
+
+    def sample(rows, most):
+        return quality.labelled_sample(table(spark, rows), labels, "doc_id", "text", ("quality",), 6000, most, quality._bags)
+
+    taken = sample(rows, 10**6)
+    learned = [k for k in range(101) if zlib.crc32(str(k).encode()) % 5]
+    assert [y[0] for y, _ in taken] == [0.5 if k == 4 else k % 2 for k in learned]
+    assert [len(x) // (4 * quality.N_FEATURES) for _, x in taken] == [900 if k == 100 else 1 if k == 3 else 1 + k % 7 for k in learned]
+    few = sample(rows, 160)
+    assert 20 < len(few) < len(taken) and sum(len(x) for _, x in few) <= 160 * 4 * quality.N_FEATURES
+    assert sample(rows, 16 * 899)[-1][1] == taken[-2][1] and sample([], 100) == []
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
-    # some documents of this label hold none of its words, as their text was spoilt
-    caught = [got[i].predicted for i, v in labels.items() if v]
-    false = [got[i].predicted for i, v in labels.items() if not v]
-    assert np.mean(caught) > 0.93 and np.mean(false) < 0.005
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    # on rows that were not learned from; some documents of this label hold none of its words, as their text was spoilt
+    caught = [got[i].predicted for i, v in labels.items() if v and got[i].held_out]
+    false = [got[i].predicted for i, v in labels.items() if not v and got[i].held_out]
+    assert np.mean(caught) > 0.85 and np.mean(false) < 0.005
     chain = toxicity.learn_chain(table(spark, corpus()[:9]), spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int"))
-    assert all(r.predicted == 0 for r in toxicity.score_toxicity(table(spark, [(1, None), (2, "x")]), chain).collect())
-    models, out = toxicity.fit_chain(np.eye(8), np.array([[1, 0], [0, 1]] * 4, float), 4)
-    assert len(models[1]) == len(models[0]) + 1 and out.shape == (8, 2)
+    assert all(r.predicted == 0 for r in toxicity.score_toxicity(table(spark, [(1, None), (2, "x"), (2, "x")]), chain).collect())
+    assert toxicity.score_toxicity(table(spark, []), chain).collect() == []
+    assert toxicity.score_toxicity(table(spark, [(1, "x")]), toxicity.learn_chain(table(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))).count() == 1
     two = toxicity.learn_chain(table(spark, [(k, "bad" if k % 2 else "good") for k in range(20)]), spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(20)], "doc_id long, a int, b int"), categories=("a", "b"))
-    assert two["names"] == ("a", "b")
+    assert two["names"] == ("a", "b") and len(two["models"][1]) == len(two["models"][0]) + 1
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    r = random.Random(6)
+    bad, good = [f"bad{k}" for k in range(6)], [f"good{k}" for k in range(40)]
+    rows = [(k, " ".join(r.sample(good, 8) + (r.sample(bad, 1 + k % 3) if k % 3 == 0 else []))) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(400)], "doc_id long, toxic int")
+    chain = toxicity.learn_chain(table(spark, rows), labels)
+    assert chain["names"] == ("strong", "mild", "toxic")
+    tested = [(1, "x BAD1, bad2! good3"), (2, None), (3, "bad1" * 2), (4, "good1 (good2) bad0"), (5, "long words " * 5000 + "bad3-bad4")]
+    for row in toxicity.score_toxicity(table(spark, tested), chain).collect():
+        w = set(re.findall("[a-z0-9]+|[^\x00-\x7f]+", (dict(tested)[row.doc_id] or "").lower()))
+        hashes = {int(x) for t in w for x in next(textvec.word_hashes([t], textvec.LETTERS))[1][0]}
+        earlier = []
+        for model in chain["models"]:
+            n = len(chain["terms"])
+            x = sum(model[j] for j in range(n) if int(chain["terms"][j]) in hashes) + sum(p * v for p, v in zip(earlier, model[n:-1], strict=True)) + model[-1]
+            earlier.append(1 / (1 + math.exp(-x)))
+        assert [row.p_strong, row.p_mild, row.p_toxic] == pytest.approx(earlier, abs=1e-9) and row.predicted == (earlier[-1] >= chain["threshold"])
+
+
+def test_toxicity_folds_do_not_see_their_documents(monkeypatch):
+    r = np.random.RandomState(0)
+    sets = [np.unique(r.randint(0, 50, 12)).astype(np.uint64) for _ in range(90)]
+    y = np.array([[7 in s] for s in sets])
+    seen = []
+    choose = toxicity.choose_terms
+    monkeypatch.setattr(toxicity, "choose_terms", lambda words, labels, terms: seen.append({id(w) for w in words}) or choose(words, labels, terms))
+    toxicity.fit_chain(sets, y, grade=True, folds=3)
+    assert [len(s) for s in seen] == [90, 60, 60, 60] and all(seen[0] - s == {id(w) for w in sets[f::3]} for f, s in enumerate(seen[1:]))
+    p = toxicity.unseen(sets, y, grade=True)
+    assert ((p > 0.5) == y[:, 0]).all()
 
 
 def test_scratch_reads_the_session(spark):
