@@ -6,15 +6,16 @@ end at a byte, exactly one continues the encoding of the bytes before it, and th
 encoding can be read byte by byte, remembering the last token of each prefix. A
 state of the transducer is that memory, cut to the length of the longest token;
 its transitions are computed from the vocabulary when a byte is first met in it
-and kept after that. A token is emitted when every prefix that a later token may
-still start from runs through it, which is after a bounded lookahead; the end of
-a piece emits the rest. Whole pieces that were read before are a path already
-taken, and their output is kept with them. Both memories are dropped and begun
-again at a fixed size.
+and kept after that. Every piece, however long, is read so. A token is emitted when
+every prefix that a later token may still start from runs through it, which is
+after a bounded lookahead; the end of a piece emits the rest. What the transducer
+gave for a piece is kept, so equal pieces are read once. Both memories are dropped
+and begun again at a fixed size.
 
-Rank semantics are those of ``tiktoken``: a piece that is a token is that token;
-otherwise the adjacent pair whose bytes have the lowest rank merges first. A pair
-of tokens is compared with that rule once and kept.
+Rank semantics are those of ``tiktoken``: a piece that is a token is that token
+(what a state emits at the end, while it holds the whole piece); otherwise the
+adjacent pair whose bytes have the lowest rank merges first. A pair of tokens is
+compared with that rule once and kept.
 
 Decoding. Ids become bytes as they come, and an incremental UTF-8 machine gives
 out characters as soon as they are complete; what can be no character becomes
@@ -62,18 +63,20 @@ class Transducer:
         # a state: the last tokens of the latest prefixes, newest last, and the latest bytes that a
         # longer token may start with; one token more than bytes unless that is the whole piece
         self._ids: dict[tuple, int] = {}
-        self._states: list[tuple[tuple[int, ...], bytes]] = []
+        self._states: list[tuple[tuple[int, ...], bytes, int]] = []
         self._next: dict[int, int] = {}  # state * 256 + byte -> state
         self._last: list[int] = []
-        self._intern((), b"")
+        self._final: list[int] = []  # what the end emits if the whole piece is a token that merges do not reach, else -1
+        self._intern((), b"", -1)
 
-    def _intern(self, lasts: tuple[int, ...], tail: bytes) -> int:
-        key = (lasts, tail)
+    def _intern(self, lasts: tuple[int, ...], tail: bytes, final: int) -> int:
+        key = (lasts, tail, final)
         found = self._ids.get(key)
         if found is None:
             found = self._ids[key] = len(self._states)
             self._states.append(key)
             self._last.append(lasts[-1] if lasts else -1)
+            self._final.append(final)
         return found
 
     def merge(self, piece: bytes) -> list[int]:
@@ -100,7 +103,7 @@ class Transducer:
         return found
 
     def _step(self, state: int, byte: int) -> int:
-        lasts, tail = self._states[state]
+        lasts, tail, _ = self._states[state]
         whole = len(lasts) == len(tail)  # nothing of the piece has left the window
         tail += _BYTES[byte]
         rank, pairs, n = self.ranks.get, self._pairs, len(tail)
@@ -117,38 +120,38 @@ class Transducer:
                 if follows if follows is not None else self._follows(before, token):
                     break
         lasts += (token,)
+        final = rank(tail, -1) if whole else -1
         starts, cut = self._starts, 0
         while cut < n and tail[cut:] not in starts:
             cut += 1
         if cut or not whole:
             tail = tail[cut:]
             lasts = lasts[cut - n - 1 :]
-        to = self._next[state << 8 | byte] = self._intern(lasts, tail)
+        to = self._next[state << 8 | byte] = self._intern(lasts, tail, -1 if final == token else final)
         return to
 
     def read(self, piece: bytes) -> Iterator[int]:
         """The tokens of one piece, each as soon as no later byte can change it."""
-        if (whole := self.ranks.get(piece)) is not None:
-            yield whole
-            return
         if len(self._states) > self.most_states:
             self._reset()
         state, lasts, sure = 0, [], 0
-        length, last, following = self.longest, self._last, self._next
-        sizes = self.bytes_of
-        for byte in piece:
-            to = following.get(state << 8 | byte)
-            state = self._step(state, byte) if to is None else to
-            lasts.append(last[state])
-            at = len(lasts)
-            if at - sure >= 4 * length and not at % length:
+        length, last, following, sizes = self.longest, self._last, self._next, self.bytes_of
+        for start in range(0, len(piece), length):
+            if start:
                 # what all prefixes that a later token may follow have in common
-                cuts = [self._cuts(lasts, end, sure, sizes) for end in range(at - length + 1, at + 1)]
+                cuts = [self._cuts(lasts, end, sure, sizes) for end in range(start - length + 1, start + 1)]
                 common = set(cuts[0]).intersection(*cuts[1:])
                 if common and (stop := max(common)) > sure:
                     yield from self._tokens(lasts, stop, sure, sizes)
                     sure = stop
-        yield from self._tokens(lasts, len(lasts), sure, sizes)
+            for byte in piece[start : start + length]:
+                to = following.get(state << 8 | byte)
+                state = self._step(state, byte) if to is None else to
+                lasts.append(last[state])
+        if self._final[state] >= 0:
+            yield self._final[state]
+        else:
+            yield from self._tokens(lasts, len(lasts), sure, sizes)
 
     @staticmethod
     def _cuts(lasts: list[int], end: int, since: int, sizes: dict) -> list[int]:
@@ -166,22 +169,6 @@ class Transducer:
             end -= len(sizes[lasts[end - 1]])
         return out[::-1]
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        """The tokens of one piece; of a short one, all at its end."""
-        if len(piece) >= 4 * self.longest:
-            return tuple(self.read(piece))
-        if (whole := self.ranks.get(piece)) is not None:
-            return (whole,)
-        if len(self._states) > self.most_states:
-            self._reset()
-        state, lasts = 0, []
-        last, following = self._last, self._next
-        for byte in piece:
-            to = following.get(state << 8 | byte)
-            state = self._step(state, byte) if to is None else to
-            lasts.append(last[state])
-        return self._tokens(lasts, len(lasts), 0, self.bytes_of)
-
 
 class Utf8Stream:
     """Characters from bytes that come in parts."""
@@ -244,7 +231,7 @@ class Codec:
         for piece in self.split(text):
             found = pieces.get(piece)
             if found is None:
-                found = self._older.get(piece) or self.machine.encode(piece.encode("utf-8", "surrogatepass"))
+                found = self._older.get(piece) or tuple(self.machine.read(piece.encode("utf-8", "surrogatepass")))
                 if len(piece) <= LONGEST_KEPT:
                     if len(pieces) >= self.most_pieces // 2:
                         self._older = pieces
