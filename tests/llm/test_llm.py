@@ -268,6 +268,41 @@ def test_round_trip_decodes_by_the_stream(monkeypatch):
         assert b"".join(pushed) == text.encode()
 
 
+def test_every_piece_goes_through_the_transducer(spark, multi):
+    path, codec = multi
+    own = bpe.Codec(open(path, "rb").read(), public_tokenizers.PATTERN)
+    steps, step = [], own.machine._step
+    own.machine._step = lambda state, byte: steps.append(byte) or step(state, byte)
+    text = "the the  end " + "z" * 100
+    assert own.encode(text) == codec.encode(text)
+    assert set(steps) == set(text.encode())
+    # tokens of a long piece come before its end, after a bounded lookahead
+    lookahead = 2 * own.machine.longest
+    piece = b"ab" * 500
+    fed = []
+
+    class Fed(bytes):
+        def __getitem__(self, k):
+            found = bytes.__getitem__(self, k)
+            fed.append(k.start + len(found))
+            return found
+
+    out, at = [], 0
+    for token in own.machine.read(Fed(piece)):
+        out.append(token)
+        at += len(own.machine.bytes_of[token])
+        assert fed[-1] - at <= lookahead + own.machine.longest
+    assert out == codec.machine.merge(piece)
+    # a token that merges never reach is still what a piece of its bytes becomes
+    ranks = {bytes((b,)): b for b in range(256)} | {b"abc": 256, b"bc": 257, b"xyz": 258}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    machine = bpe.Transducer(ranks)
+    for t in ("xyz", "xyzx", "abc", "abcd", "xabc", "x"):
+        assert list(machine.read(t.encode())) == library.encode_ordinary(t)
+    empty = bpe.round_trip_digests(table(spark, []), path, public_tokenizers.PATTERN)
+    assert empty.collect() == []
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [*corpus(), (900, "<|endoftext|> x"), (901, "z" * 9000), (7777, words(random.Random(1), 2000))]
@@ -502,6 +537,31 @@ def test_recall_with_copies(spark, spread):
     assert np.mean(shares) >= 0.9 and min(shares) >= 0.5
 
 
+@pytest.mark.parametrize("kind", ["random", "400 x 10", "40 x 100", "tight", "wide", "norms"])
+def test_recall_in_a_shard(kind):
+    """The production parameters on one shard, on tables of several shapes."""
+    r = np.random.RandomState(0)
+    if "x" in kind:
+        distinct, copies = map(int, kind.split(" x "))
+        x = np.repeat(r.normal(size=(distinct, 64)), copies, 0)
+    else:
+        middle, spread = {"random": (np.zeros((1, 64)), 1), "tight": (r.normal(size=(100, 64)), 0.01), "wide": (r.normal(size=(1000, 64)), 0.2), "norms": (np.zeros((1, 64)), np.exp(r.normal(size=(4000, 1))))}[kind]
+        x = middle[r.randint(0, len(middle), 4000)] + spread * r.normal(size=(4000, 64))
+    norm2, ids = float((x * x).sum(1).max()), np.arange(len(x))
+    lead = ann.leaders(x, norm2, 3 * ann.M)
+    tops = np.flatnonzero(lead == ids)
+    members = ann._members(lead, x, ann.K + 1)
+    queries_ = ids[::20]
+    found = ann.search_graph(x[tops], ann.build_graph(ids[tops], x[tops], norm2), x[queries_])
+    hits = []
+    for q, row in zip(queries_, found, strict=True):
+        row = np.concatenate([members[v] for v in row[row >= 0]])
+        own, every = np.sort(x[row[row != q]] @ x[q])[::-1][:20], x @ x[q]
+        every[q] = -np.inf
+        hits.append((own >= np.sort(every)[-20] - 1e-9).sum() / 20)
+    assert np.mean(hits) >= 0.93
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
