@@ -22,8 +22,8 @@ for any norms.
 Queries come in blocks of bounded size, twice that of a shard, so a graph travels
 once for so many queries: until these fill a second block (with one query for each
 20 vectors, at about 330,000 vectors) the shuffle grows in proportion to the table,
-and beyond that graphs and queries meet at about 4 bytes for each query and vector
-in all, as every shard must be searched. Each (shard, block) is a task of its own:
+and beyond that by about a sixth of a byte for each query and vector, as every
+shard must be searched. Each (shard, block) is a task of its own:
 a greedy descent through the upper levels and a best-first search with ``ef``
 candidates on the lowest, for the whole block at once. Scores are computed again
 in double precision on the original vectors, and the shards' results are merged
