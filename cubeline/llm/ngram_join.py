@@ -33,6 +33,9 @@ portion of texts is not sent there; it is marked, comes last in the order, and i
 listed only for sets that consist of such shingles. One pass decides which are,
 and sends its entries of both kinds through one exchange; texts that come out of
 a shuffle are written first, as their order may change if a lost task runs again.
+Portions of a hash range meet ``fan`` at a time, in as many rounds as there are
+portions for, and each round marks what is frequent in it. So of no shingle do more
+than ``frequent * fan`` entries come to a task.
 Lists are grouped by pre-aggregated minima and joins that can be split, so none
 meets in one task.
 
@@ -65,6 +68,8 @@ LARGEST_BOUNDARY = 64
 #: A shingle in more sets than this within one portion counts as frequent; a portion has about so many shingles.
 FREQUENT = 64
 PORTION = 1_000_000
+#: Portions that meet in a round.
+FAN = 1024
 #: Shingles of a bucket, and sets of a part, about.
 BUCKET = 1_000_000
 PART_SETS = 10_000
@@ -115,8 +120,8 @@ def document_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # --- shingles that several sets hold --------------------------------------------------------------
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some thousand texts at a time, each set once: shingles in order, the number of the set of each, the sets."""
+def _portions(batches: Iterator[pa.RecordBatch], portion: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts with about ``portion`` shingles at a time, each set once: shingles in order, the number of the set of each, the sets."""
     held, sets, size = [], {}, 0
     for _, texts in blocks(batches):
         for _, block in word_hashes(texts):
@@ -126,7 +131,7 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
                     sets[own] = len(sets)
                     held.append(s)
                     size += len(s)
-                if size > PORTION:
+                if size > portion:
                     yield _portion(held, sets)
                     held, sets, size = [], {}, 0
     if held:
@@ -139,11 +144,11 @@ def _portion(held: list[np.ndarray], sets: dict[int, int]) -> tuple[np.ndarray,
     return keys[order], of[order], np.array(list(sets), np.int64)
 
 
-def _often(keys: np.ndarray) -> np.ndarray:
-    """Whether each of the sorted keys is frequent."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+def _counts(keys: np.ndarray) -> np.ndarray:
+    """How often each of the sorted keys comes."""
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     counts = np.diff(np.append(starts, len(keys)))
-    return np.repeat(counts > FREQUENT, counts)
+    return np.repeat(counts, counts)
 
 
 def _planes(keys: np.ndarray) -> bytes:
@@ -155,33 +160,82 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-def _packed(bits: int, parts: int) -> Callable:
-    """(bucket, keys, of, sets, marks): the entries of shingles that are not frequent here, with a list of their sets; of each that is, a mark without a set.
+_PACKED = "bucket long, salt long, keys binary, of binary, sets binary, marks boolean"
 
-    Under -1 - part, the entries of the frequent ones, by set.
+
+def _blob(bucket: int, salt: int, keys: np.ndarray, of: np.ndarray, sets: np.ndarray) -> tuple:
+    """A row of _PACKED: sorted keys, the place in ``sets`` of the set of each, len(sets) for a mark."""
+    used, own = np.unique(of, return_inverse=True)
+    own = own.astype(np.uint16 if len(used) < 65536 else np.uint32)
+    return bucket, salt, _planes(keys), own.tobytes(), np.append(sets, 0)[used].tobytes(), bool(len(used) and used[-1] == len(sets))
+
+
+def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sets, and whether each is a mark, of rows (keys, of, sets, marks)."""
+    keys, sets, none = [], [], []
+    for k, of, named, marks in rows:
+        k, named = _unplaned(k), np.frombuffer(named, np.int64)
+        of = np.frombuffer(of, np.uint16 if 2 * len(k) == len(of) else np.uint32)
+        keys.append(k)
+        sets.append(named[of])
+        none.append(of == len(named) - 1 if marks else np.zeros(len(k), bool))
+    return np.concatenate(keys), np.concatenate(sets), np.concatenate(none)
+
+
+def _packed(bits: int, parts: int, frequent: int, portion: int) -> Callable:
+    """_PACKED: the entries of shingles that are not frequent here, with a list of their sets; of each that is, a mark without a set.
+
+    Under -1 - part, the entries of the frequent ones, by set. salt: a number of the portion.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, of, sets in _portions(batches):
-            often = _often(keys)
-            out = [(-1 - part, k, b"", s, False) for part, k, s, _ in _by_set(keys[often], sets[of[often]], np.zeros(int(often.sum()), np.uint32), parts)]
+        for keys, of, sets in _portions(batches, portion):
+            salt = int(mix(sets[:1].view(np.uint64)).view(np.int64)[0])
+            often = _counts(keys) > frequent
+            out = [(-1 - part, salt, k, b"", s, False) for part, k, s, _ in _by_set(keys[often], sets[of[often]], np.zeros(int(often.sum()), np.uint32), parts)]
             marks = np.unique(keys[often])
             keys, of = np.concatenate((keys[~often], marks)), np.concatenate((of[~often], np.full(len(marks), len(sets), np.uint32)))
             order = np.argsort(keys, kind="stable")
             keys, of = keys[order], of[order]
             bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            named = np.append(sets, 0)
             for a, b in zip(at, np.append(at[1:], len(keys))[: len(at)], strict=True):
-                used, own = np.unique(of[a:b], return_inverse=True)
-                own = own.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                out.append((int(bucket[a]), _planes(keys[a:b]), own.tobytes(), named[used].tobytes(), bool(len(used) and used[-1] == len(sets))))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "keys", "of", "sets", "marks"])
+                out.append(_blob(int(bucket[a]), salt, keys[a:b], of[a:b], sets))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "salt", "keys", "of", "sets", "marks"])
 
     return rows
 
 
+def _met(parts: int, frequent: int) -> Callable:
+    def met(key, pdf):
+        """_PACKED of some portions of one hash range, as of one portion. Entries of frequent shingles go on as they are."""
+        import pandas as pd
+
+        bucket, salt = map(int, key)
+        if bucket < 0:
+            return pdf
+        keys, sets, none = _unpacked(zip(pdf["keys"], pdf["of"], pdf["sets"], pdf["marks"], strict=True))
+        marked = np.unique(keys[none])
+        keys, sets = keys[~none], sets[~none]
+        order = np.lexsort((sets, keys))
+        keys, sets = keys[order], sets[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
+        keys, sets = keys[new], sets[new]
+        often = (_counts(keys) > frequent) | np.isin(keys, marked)
+        out = [(-1 - part, salt, k, b"", s, False) for part, k, s, _ in _by_set(keys[often], sets[often], np.zeros(int(often.sum()), np.uint32), parts)]
+        marked = np.union1d(marked, keys[often])
+        named, of = np.unique(sets[~often], return_inverse=True)
+        keys, of = np.concatenate((keys[~often], marked)), np.concatenate((of, np.full(len(marked), len(named))))
+        order = np.argsort(keys, kind="stable")
+        if len(keys):
+            out.append(_blob(bucket, salt, keys[order], of[order], named))
+        return pd.DataFrame(out, columns=["bucket", "salt", "keys", "of", "sets", "marks"])
+
+    return met
+
+
 def _by_set(keys: np.ndarray, sets: np.ndarray, often: np.ndarray, parts: int):
     """(part, keys, sets, often) as bytes, sorted by set within each part."""
     part = (sets.view(np.uint64) % np.uint64(parts)).astype(np.int64)
@@ -199,14 +253,7 @@ def _shared(parts: int) -> Callable:
         if key[0] < 0:
             often = [np.full(len(s) // 8, _MANY, np.uint32).tobytes() for s in pdf["sets"]]
             return pd.DataFrame({"part": np.full(len(pdf), -1 - key[0], np.int64), "keys": pdf["keys"], "sets": pdf["sets"], "often": often})
-        keys, sets, none = [], [], []
-        for k, of, named, marks in zip(pdf["keys"], pdf["of"], pdf["sets"], pdf["marks"], strict=True):
-            k, named = _unplaned(k), np.frombuffer(named, np.int64)
-            of = np.frombuffer(of, np.uint16 if 2 * len(k) == len(of) else np.uint32)
-            keys.append(k)
-            sets.append(named[of])
-            none.append(of == len(named) - 1 if marks else np.zeros(len(k), bool))
-        keys, sets, none = np.concatenate(keys), np.concatenate(sets), np.concatenate(none)
+        keys, sets, none = _unpacked(zip(pdf["keys"], pdf["of"], pdf["sets"], pdf["marks"], strict=True))
         marked = np.unique(keys[none])
         order = np.argsort(keys, kind="stable")
         keys, sets, none = keys[order], sets[order], none[order]
@@ -222,9 +269,7 @@ def _shared(parts: int) -> Callable:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
         keys, sets = keys[new], sets[new]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-        counts = np.diff(np.append(starts, len(keys)))
-        often = np.repeat(np.minimum(counts, int(_MANY) - 1), counts).astype(np.uint32)
+        often = np.minimum(_counts(keys), int(_MANY) - 1).astype(np.uint32)
         often[np.isin(keys, marked)] = _MANY
         keep = often > 1
         return pd.DataFrame(_by_set(keys[keep], sets[keep], often[keep], parts), columns=["part", "keys", "sets", "often"])
@@ -257,7 +302,7 @@ def _prefixes(num: int, den: int) -> Callable:
     return prefixes
 
 
-def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, num: int = NUMERATOR, den: int = DENOMINATOR, frequent: int = FREQUENT, portion: int = PORTION, fan: int = FAN) -> DataFrame:
     """(set_id, n, keep, shared), of sets that may meet another one. Buckets grow in number with the shingles, not in size.
 
     The order is by the number of sets that hold a shingle, frequent ones last. A
@@ -267,9 +312,13 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, nu
     bits = max(3, int(np.ceil(np.log2((total or 0) / BUCKET + 1))))
     parts = max(8, (count or 0) // PART_SETS)
     texts = id_text(docs, doc_id, text)
-    packed = texts.mapInArrow(_packed(bits, parts), "bucket long, keys binary, of binary, sets binary, marks boolean")
+    packed = texts.mapInArrow(_packed(bits, parts, frequent, portion), _PACKED)
+    groups = -(-(total or 0) // portion)
+    while groups > fan:
+        groups = -(-groups // fan)
+        packed = packed.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("bucket", "salt").applyInPandas(_met(parts, frequent), _PACKED)
     schema = "part long, keys binary, sets binary, often binary"
-    listed = packed.groupBy("bucket").applyInPandas(_shared(parts), schema)
+    listed = packed.drop("salt").groupBy("bucket").applyInPandas(_shared(parts), schema)
     sizes = sets.filter("n > 0").select("set_id", "n").distinct()
     sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
     return listed.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
@@ -411,15 +460,20 @@ def similarity_classes(
     short_list: int = SHORT_LIST,
     levels: int = 6,
     limit: int | None = None,
+    frequent: int = FREQUENT,
+    portion: int = PORTION,
+    fan: int = FAN,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each document.
 
     num / den: the least similarity. short_list: lists up to this length are
     compared pair by pair. levels: rounds of leaders, after which all lists that
     are left are. limit: the boundary between small and large sets; by cost if None.
+    frequent: a shingle in more sets than this of a portion, or of portions that
+    meet, is frequent. portion: shingles of a portion. fan: portions that meet.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
-    table, links = _links(scratch, settled(scratch, docs, doc_id, text), doc_id, text, num, den, short_list, levels, limit)
+    table, links = _links(scratch, settled(scratch, docs, doc_id, text), doc_id, text, num, den, short_list, levels, limit, frequent, portion, fan)
     reps = _sets(table).select("set_id", F.col("id").alias("rep"))
     named = reps.filter("rep is not null")
     edges = links.join(named.select(F.col("set_id").alias("x"), F.col("rep").alias("a")), "x").join(named.select(F.col("set_id").alias("y"), F.col("rep").alias("b")), "y")
@@ -472,11 +526,11 @@ def _verify(table: DataFrame) -> None:
 
 
 def _links(
-    scratch: Scratch, docs: DataFrame, doc_id: str, text: str, num: int, den: int, short_list: int = SHORT_LIST, levels: int = 6, limit: int | None = None
+    scratch: Scratch, docs: DataFrame, doc_id: str, text: str, num: int, den: int, short_list: int = SHORT_LIST, levels: int = 6, limit: int | None = None, frequent: int = FREQUENT, portion: int = PORTION, fan: int = FAN
 ) -> tuple[DataFrame, DataFrame]:
     """The table of document_sets, and (x, y): pairs of sets that link, as many as their classes need."""
     table = scratch.keep(document_sets(docs, doc_id, text), "sets")
-    prefixes = scratch.keep(shared_shingles(docs, table, doc_id, text, num, den), "prefixes")
+    prefixes = scratch.keep(shared_shingles(docs, table, doc_id, text, num, den, frequent, portion, fan), "prefixes")
     limit = boundary(prefixes, num, den) if limit is None else limit
     entries = list_entries(prefixes, limit, num, den).withColumn("band", F.expr(_band(num, den)))
     entries = scratch.keep(entries.withColumn("band", F.explode(F.array("band", F.col("band") + 1))), "entries")
