@@ -73,10 +73,8 @@ def brute_classes(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 1, "short_list": 2}, {"limit": 64, "short_list": 1, "levels": 2}])
-def test_classes(spark, options, monkeypatch):
-    if options:
-        monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+@pytest.mark.parametrize("options", [{}, {"limit": 1, "short_list": 2, "frequent": 8}, {"limit": 64, "short_list": 1, "levels": 2, "frequent": 8}, {"frequent": 2, "portion": 1500, "fan": 2}, {"frequent": 30, "portion": 500, "fan": 3, "short_list": 4}])
+def test_classes(spark, options):
     rows = corpus()
     found = ngram_join.similarity_classes(table(spark, rows), **options).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_classes(rows)
