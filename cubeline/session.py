@@ -45,6 +45,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where the driver and all executors can write: the session's ``spark.checkpoint.dir``, or a temporary folder in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cubeline-"))
+
+
 def build(cores: str = "*", **conf: str) -> SparkSession:
     """A local session with the settings; conf: more of them, with underscores for dots."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false")

@@ -10,8 +10,41 @@ from .logs import JOB_ID
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:
     """LISTING of a glob on any file system; hidden names (``_``, ``.``) are left out by Spark."""
-    rows = spark.read.format("binaryFile").load(glob).select("path", "modificationTime", "length")
-    return rows.select(F.col("path").alias("file_name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    rows = spark.read.format("binaryFile").load(glob).select(F.col("_metadata.file_path").alias("file_name"), "modificationTime", "length")
+    return rows.select("file_name", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def existing(spark: SparkSession, globs: list[str]) -> list[str]:
+    """Those of the globs that match something, on any file system."""
+    out = []
+    for glob in globs:
+        at, files = file_system(spark, glob)
+        if len(files.globStatus(at) or ()):
+            out.append(glob)
+    return out
+
+
+def partitions(spark: SparkSession, path: str, keys: tuple[str, ...]) -> list[tuple[str | None, ...]]:
+    """The values of the partition folders ``key=value/...`` under a path, in order; none if it is not there."""
+    at, files = file_system(spark, "/".join([path, *(f"{k}=*" for k in keys)]))
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = []
+    for status in files.globStatus(at) or ():
+        names = status.getPath().toString().split("/")[-len(keys) :]
+        values = [unescape(n.split("=", 1)[1]) for n in names]
+        found.append(tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values))
+    return sorted(found, key=str)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = file_system(spark, path)
+    files.delete(at, True)
 
 
 def total_bytes(listing: DataFrame) -> DataFrame:

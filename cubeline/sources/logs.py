@@ -2,8 +2,9 @@
 
 Lines are read with their place, ``(path, line_no)``, as merges need their order.
 Whole files are read by default: a log is one job's and small. For logs that are
-too large for a row, ``split=True`` reads line by line, and numbers lines within
-an input partition.
+too large for a row, ``split=True`` reads line by line; a line's number is then made
+of where its split of the file begins and its row there, so numbers rise through
+the file, however it is split and dealt to tasks.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ JOB_LINE = r'^Job JOBID="([^"]+)".*'
 JOB_ID = r"job_\d+_\d+"
 ATTEMPT_LINE = r'^(Map|Reduce)Attempt TASK_TYPE="(MAP|REDUCE)".+'
 TASK_LINE = r'Task TASKID="([^"]+)" TASK_TYPE="(MAP|REDUCE)".+'
-TASK_ID = r"task_(\d+_\d+)_[mr]_\d+"
+TASK_ID = r"^task_(\d+_\d+)_[mr]_\d+$"
 PARAMETER = r'([A-Z_]+)="([^"]+)"'
 COUNTER = r"\[\(([A-Z_]+)\)\(.+?\)\((\d+)\)\]"
-#: <root>/<cluster>/daily/<queue>/<yyyy>/<MMdd>/<file>
-DATED = r"([^/]+)/daily/([^/]+)/(\d{4})/(\d{4})/[^/]+$"
+#: <root>/<cluster>/daily/<queue>/<yyyy>/<MMdd>/<file>, with or without the queue
+DATED = r"([^/]+)/daily/(?:([^/]+)/)?(\d{4})/(\d{4})/[^/]+$"
 
 
 def _pairs(text: Column, pattern: str) -> Column:
@@ -41,8 +42,10 @@ def located(df: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, paths: str | list[str], split: bool = False) -> DataFrame:
     """(path, line_no, line)."""
     if split:
-        rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-        return rows.select("path", F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+        row = F.expr("monotonically_increasing_id() & 8589934591")  # of the task, 33 bits
+        place = F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(11,0)") + row.cast("decimal(11,0)")
+        rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), place.cast("decimal(38,0)").alias("line_no"), F.col("value").alias("line"))
+        return rows
     rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return rows.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).select("path", F.col("n").cast("long").alias("line_no"), "line")
 
@@ -125,6 +128,10 @@ def task_lines(lines: DataFrame) -> DataFrame:
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
-    """(kind, n): classified lines that lack an id."""
-    missing = (F.col("kind") != "job") & (F.col("job_id").isNull() | _param("TASKID").isNull() | ((F.col("kind") == "attempt") & _param("TASK_ATTEMPT_ID").isNull()))
-    return lines.filter(missing | F.col("job_id").isNull()).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """(path, line_no, kind, reason) of classified lines that lack an id."""
+    reason = (
+        F.when((F.col("kind") != "job") & _param("TASKID").isNull(), "no_task_id")
+        .when(F.col("job_id").isNull(), "no_job_id")
+        .when((F.col("kind") == "attempt") & _param("TASK_ATTEMPT_ID").isNull(), "no_attempt_id")
+    )
+    return lines.filter(reason.isNotNull()).select("path", "line_no", "kind", reason.alias("reason"))

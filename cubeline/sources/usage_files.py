@@ -9,11 +9,12 @@ FORMATS = ("parquet", "orc", "json", "avro")
 
 
 def read_usage(spark: SparkSession, path: str | list[str], kind: str = "parquet") -> DataFrame:
-    """Records with ``key`` and ``value`` structs are flattened; flat ones stay. Avro needs Spark's avro module on the class path."""
+    """Records with ``key`` and ``value`` structs are flattened, other columns (those of partitions) stay. Avro needs Spark's avro module on the class path."""
     if kind not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}: {kind}")
     df = spark.read.format(kind).load(path)
-    flat = ["key.*", "value.*"] if {"key", "value"} <= set(df.columns) else [F.col(c) for c in df.columns]
+    nested = {"key", "value"} <= set(df.columns)
+    flat = [*(["key.*", "value.*"] if nested else []), *(F.col(f"`{c}`") for c in df.columns if not (nested and c in ("key", "value")))]
     return df.select(*flat, F.col("_metadata.file_path").alias("file_name"))
 
 

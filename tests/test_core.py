@@ -78,7 +78,8 @@ def test_lines(spark, tmp_path):
     a = held.first()
     assert held.count() == 1 and (a.status, a.start_ms, a.finish_ms, a.counters, a.user, a.day, a.excess) == ("SUCCESS", 7, 90, {"CPU_MILLISECONDS": 1200, "SPILLED_RECORDS": 7}, "bob", "20240105", False)
     assert [o.attempt_id for o in orphans.collect()] == ["orphan"]
-    assert {r.kind: r.n for r in logs.rejected_lines(lines).collect()} == {"attempt": 1}
+    assert [(r.kind, r.reason) for r in logs.rejected_lines(lines).collect()] == [("attempt", "no_attempt_id")]
+    assert {tuple(r) for r in runs.rejects(lines).collect()} == {("attempt", "no_attempt_id", 1), ("attempt", "no_task", 1)}
     nested = merge.nest(merge.merge_jobs(logs.job_lines(lines)), merge.merge_tasks(logs.task_lines(lines)), merge.merge_attempts(logs.attempt_lines(lines))).first()
     assert [t.task_id for t in nested.tasks] == ["task_1_2_m_0"] and [x.attempt_id for x in nested.tasks[0].attempts] == ["a0"]
     assert [(u.time_ms, u.day, u.user) for u in runs.process_logs(spark, f"{tmp_path}/*/daily/*/2024/0105/*log").collect()] == [(0, "20240105", "bob")]
@@ -129,3 +130,134 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").groupBy("time_ms").agg(F.sum("started").alias("s")).collect()
     want = usage.hourly_usage(rows).groupBy("time_ms").agg(F.sum("started").alias("s")).collect()
     assert sorted(got) == sorted(want)
+
+
+def _tree(root, layout):
+    """Two clusters' logs and configurations of three days; layout: with or without the queue."""
+    for cluster in ("alpha", "beta"):
+        for md in ("0103", "0104", "0105"):
+            folder = root / cluster / "daily" / layout / "2024" / md if layout else root / cluster / "daily" / "2024" / md
+            folder.mkdir(parents=True)
+            own = [x.replace("job_1_2", f"job_1_{md}").replace("task_1_2", f"task_1_{md}") for x in LINES]
+            (folder / f"job_1_{md}.log").write_text("\n".join(own))
+            (folder / f"job_1_{md}_conf.xml").write_text("<configuration><property><name>mapred.job.queue.name</name><value>q</value></property></configuration>")
+            (folder / "job_9_9_conf.xml").write_text("<configuration><prop")
+
+
+@pytest.mark.parametrize("layout, split", [("q", False), ("", True)])
+def test_batch(spark, tmp_path, layout, split):
+    _tree(tmp_path / "logs", layout)
+    today, out = dt.date(2024, 1, 6), f"{tmp_path}/out"
+
+    def rows():
+        return sorted(map(tuple, spark.read.parquet(f"{out}/usage").select("cluster", "day", "user", "time_ms", "started", "status").collect()))
+
+    first = runs.run_batch(spark, f"{tmp_path}/logs", out, today, 2, split=split)
+    assert first == {"days": ["20240104", "20240105"], "rejects": [("attempt", "no_attempt_id", 4), ("attempt", "no_task", 4)], "confs_rejected": 4}
+    held = rows()
+    assert [r[:3] for r in held] == [(c, d, "bob") for c in ("alpha", "beta") for d in (20240104, 20240105)]
+    assert runs.discover(spark, f"{out}/jobs") == [(c, d) for c in ("alpha", "beta") for d in ("20240104", "20240105")]
+    assert spark.read.parquet(f"{out}/confs").count() == 4
+    # nothing new: nothing is done; all again: nothing changes; a day more: only it is added
+    assert runs.run_batch(spark, f"{tmp_path}/logs", out, today, 2, split=split)["days"] == []
+    assert runs.run_batch(spark, f"{tmp_path}/logs", out, today, 2, incremental=False, split=split)["days"] == first["days"] and rows() == held
+    assert runs.run_batch(spark, f"{tmp_path}/logs", out, today, 3, 1, split=split)["days"] == ["20240103", "20240105"]
+    assert len(rows()) == 6 and rows()[1:3] == held[:2]
+    nested = runs.read_jobs(spark, f"{out}/jobs", ["20240103"]).collect()
+    assert [(j.cluster, j.user, len(j.tasks), [a.attempt_id for a in j.tasks[0].attempts]) for j in sorted(nested)] == [(c, "bob", 1, ["a0"]) for c in ("alpha", "beta")]
+    assert runs.run_batch(spark, f"{tmp_path}/nothing", out, today, 2, incremental=False)["days"] == []
+
+
+def test_batch_reads_the_logs_once(spark, tmp_path):
+    _tree(tmp_path / "logs", "q")
+    lines = logs.classify(logs.located(logs.read_lines(spark, f"{tmp_path}/logs/*/daily/*/2024/*/*log")))
+    staged = runs.stage_lines(lines, f"{tmp_path}/staged")
+    plan = runs.nested_jobs(staged)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and lines._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert all("PartitionFilters: [isnotnull(kind" in scan for scan in plan.split("FileScan parquet")[1:])
+
+
+def test_logs_without_a_place(spark, tmp_path):
+    (tmp_path / "job_1_2.log").write_text("\n".join(LINES))
+    held, orphans = runs.attempts_from_lines(logs.classify(logs.located(logs.read_lines(spark, f"{tmp_path}/*.log"))))
+    assert [(a.cluster, a.day, a.attempt_id, a.user) for a in held.collect()] == [(None, None, "a0", "bob")]
+    assert [o.attempt_id for o in orphans.collect()] == ["orphan"]
+    assert [u.user for u in runs.process_logs(spark, f"{tmp_path}/*.log").collect()] == ["bob"]
+
+
+def test_split_lines_keep_their_order(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(5000)]
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = logs.read_lines(spark, f"{tmp_path}/a.log", split=True)
+        assert got.rdd.getNumPartitions() > 3
+        assert [r.line for r in got.repartition(7).orderBy("path", "line_no").collect()] == lines
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_task_ids_match_whole(spark):
+    rows = [(f"/c/daily/q/2024/0105/x{k}.log", k, f'Task TASKID="{t}" TASK_TYPE="MAP" START_TIME="1" .') for k, t in enumerate(["task_1_2_m_0", "task_1_2_m_0_x", "xtask_1_2_m_0", "task_1_2_s_0"])]
+    lines = logs.classify(logs.located(spark.createDataFrame(rows, "path string, line_no long, line string")))
+    assert [t.task_id for t in logs.task_lines(lines).collect()] == ["task_1_2_m_0"]
+    assert [(r.kind, r.reason) for r in logs.rejected_lines(lines).collect()] == [("task", "no_job_id")] * 3
+
+
+def test_table_follows_its_files(spark, tmp_path):
+    import os
+
+    def write(name, n, mtime):
+        path = f"{tmp_path}/in/{name}"
+        spark.range(n).selectExpr("named_struct('user', concat('u', id)) as key", "named_struct('started', id) as value").coalesce(1).write.mode("overwrite").parquet(path)
+        part = next(f for f in os.listdir(path) if f.startswith("part-"))
+        for f in os.listdir(path):
+            if f != part:
+                os.remove(f"{path}/{f}")
+        os.rename(f"{path}/{part}", f"{path}/part.parquet")
+        os.utime(f"{path}/part.parquet", (mtime, mtime))
+
+    def refresh():
+        return runs.refresh(spark, f"{tmp_path}/in/*/*.parquet", f"{tmp_path}/table")
+
+    def rows():
+        found = spark.read.parquet(f"{tmp_path}/table/rows").groupBy("file_name").count().collect()
+        return {r.file_name.split("/")[-2]: r["count"] for r in found}
+
+    write("a", 3, 1000)
+    write("b", 4, 1000)
+    assert refresh() == {"unprocessed": 2} and rows() == {"a": 3, "b": 4}
+    assert refresh() == {"processed": 2}
+    write("b", 5, 2000)
+    write("c", 1, 2000)
+    os.remove(f"{tmp_path}/in/a/part.parquet")
+    assert refresh() == {"deleted": 1, "modified": 1, "unprocessed": 1} and rows() == {"b": 5, "c": 1}
+    assert spark.read.parquet(f"{tmp_path}/table/rows").columns == ["user", "started", "file_name", "file_key"]
+
+
+def test_confs_of_whole_files(spark, tmp_path):
+    _tree(tmp_path, "q")
+    (tmp_path / "alpha" / "daily" / "q" / "2024" / "0105" / "_hidden_job_5_5.xml").write_text("x")
+    parsed = confs.read_confs(spark, f"{tmp_path}/*/daily/*/2024/0105/*xml")
+    assert sorted((c.cluster, c.day, c.job_id) for c in confs.accepted(parsed).collect()) == [("alpha", "20240105", "job_1_0105"), ("beta", "20240105", "job_1_0105")]
+    assert {r.reason for r in confs.rejected(parsed).collect()} == {"malformed"} and confs.rejected(parsed).count() == 2
+
+
+def test_days_and_pages(spark):
+    assert runs.is_forced("20240301", dt.date(2024, 3, 2), 2) and not runs.is_forced("20240228", dt.date(2024, 3, 2), 2)
+    assert runs.log_globs("r", ["20240301"]) == ["r/*/daily/*/2024/0301/*log"]
+    r = query.Request("alpha", "minutesTotal", 1_704_412_800_000, 1_706_227_200_000, users=("u",), day_margin=1)
+    usage_ = spark.createDataFrame([("alpha", "u", 1_705_000_000_000, "20240111", 5.0), ("alpha", "u", 1_705_000_000_000, "20200101", 7.0)], "cluster string, user string, time_ms long, day string, elapsed_minutes double")
+    plan = query._sums(usage_, r, ["u"])
+    assert [x.value for x in plan.collect()] == [5.0]
+    from cubeline.plans import present
+
+    series = spark.createDataFrame([(u, t, v) for u, t, v in [("a", 1, 60.0), ("a", 2, 60.0), ("b", 1, 600.0), ("b", 2, 0.0), ("c", 1, 6.0), ("c", 2, 6.0)]], "user string, time_ms long, value double")
+    drawn = present.graph_series(series, "minutesTotal", aggregate_selected=True).collect()
+    assert [(x.position, x.user, x.time_ms, round(x.value, 2), x.disabled) for x in drawn] == [(0, "3 users", 1, 11.1, False), (0, "3 users", 2, 1.1, False)]
+    drawn = present.graph_series(series.limit(0), "minutesTotal", series.filter("user = 'a'").select("time_ms", "value"), 4).collect()
+    assert [(x.user, x.disabled) for x in drawn] == [("4 users", False)] * 2
+    pages = [[x.user for x in present.last_periods(series, "minutesTotal", 1, 2, k).collect()] for k in (0, 2)]
+    assert pages == [["b", "a"], ["c"]]
+    assert [x.user for x in present.last_periods(series, "minutesTotal", 2, order=1).collect()] == ["a", "c", "b"]
