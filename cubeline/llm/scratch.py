@@ -13,7 +13,6 @@ wanted any more, or ``released`` around a step whose result is written inside it
 from __future__ import annotations
 
 import logging
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,20 +20,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..session import shared_folder
+
 _ROOTS: list[str] = []
 _LOG = logging.getLogger(__name__)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cubeline-"))
-
-
 class Scratch:
     """The tables of one operator call, under a folder of their own."""
 
