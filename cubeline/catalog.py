@@ -286,9 +286,18 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return logs.classify(logs.located(rendered_lines(s, d)))
 
 
+def _staged_lines(s: SparkSession, d: str) -> DataFrame:
+    """The lines, classified once, as both kinds are wanted."""
+    return runs.stage_lines(_lines(s, d), f"{work_path(s, 'lines')}/staged")
+
+
+def _held_attempts(lines: DataFrame) -> DataFrame:
+    return merge.join_tasks(merge.sound_attempts(merge.merge_attempts(logs.attempt_lines(lines))), merge.merge_tasks(logs.task_lines(lines)))[0]
+
+
 _add(
     "log_roundtrip",
-    lambda s, d: merge.join_tasks(merge.sound_attempts(merge.merge_attempts(logs.attempt_lines(_lines(s, d)))), merge.merge_tasks(logs.task_lines(_lines(s, d))))[0].select("cluster", "job_id", "task_id", "attempt_id", "type", "status", "start_ms", "finish_ms"),
+    lambda s, d: _held_attempts(_staged_lines(s, d)).select("cluster", "job_id", "task_id", "attempt_id", "type", "status", "start_ms", "finish_ms"),
     f"WITH {_ATTEMPTS} SELECT cluster, job_id, task_id, attempt_id, type, status, start_ms, finish_ms FROM attempts WHERE finish_ms >= start_ms",
 )
 _add(
