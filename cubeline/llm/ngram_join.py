@@ -467,8 +467,8 @@ def similarity_classes(
     """(doc_id, n_shingles, component_id), a row for each document.
 
     num / den: the least similarity. short_list: lists up to this length are
-    compared pair by pair. levels: rounds of leaders, after which all lists that
-    are left are. limit: the boundary between small and large sets; by cost if None.
+    compared pair by pair. levels: rounds of leaders, after which the lists that
+    are left are compared block by block. limit: the boundary between small and large sets; by cost if None.
     frequent: a shingle in more sets than this of a portion, or of portions that
     meet, is frequent. portion: shingles of a portion. fan: portions that meet.
     """
@@ -525,6 +525,28 @@ def _verify(table: DataFrame) -> None:
         raise RuntimeError("two different shingle sets have the same 64-bit identity")
 
 
+def _linked_pairs(scratch: Scratch, rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) of those rows (x, n, y, m) that link."""
+    rows = rows.filter(f"x <> y and least(n, m) * {den} >= greatest(n, m) * {num}")
+    rows = rows.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.lit(0).cast("long").alias("low")).distinct()
+    return _compare(scratch, rows, sets, num, den, False).filter("linked").select("x", "y")
+
+
+def _blockwise(scratch: Scratch, listed: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> list[DataFrame]:
+    """(x, y) that link within the lists that are left: about ``block`` sets of each list a round, against those of its later blocks.
+
+    So a round makes about ``block`` pairs for each entry, and no list is paired with itself at once.
+    """
+    dealt = listed.withColumn("block", F.pmod(F.xxhash64("x"), F.ceil(F.col("k") / block)))
+    dealt = scratch.keep(dealt.select("key", "x", "n", "failed", "block"), "blocks")
+    out = []
+    for r in range((dealt.agg(F.max("block")).first()[0] or 0) + 1):
+        some = dealt.filter(f"block = {r}").select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("failed").alias("other"))
+        pairs = dealt.filter(f"block >= {r}").join(some, "key").filter(f"(failed or other) and (block > {r} or x > y)")
+        out.append(_linked_pairs(scratch, pairs, sets, num, den))
+    return out
+
+
 def _links(
     scratch: Scratch, docs: DataFrame, doc_id: str, text: str, num: int, den: int, short_list: int = SHORT_LIST, levels: int = 6, limit: int | None = None, frequent: int = FREQUENT, portion: int = PORTION, fan: int = FAN
 ) -> tuple[DataFrame, DataFrame]:
@@ -542,14 +564,14 @@ def _links(
         listed = scratch.keep(listed.groupBy("key", "x", "n", "alone").agg(F.max("failed").alias("failed")), "listed")
         counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("failed").alias("failed"))
         counts = scratch.keep(counts.filter("k > 1 and failed").select("key", "k"), "counts")
-        last = level == levels - 1
-        near = listed.join(counts if last else counts.filter(f"k <= {short_list}"), "key")
+        near = listed.join(counts.filter(f"k <= {short_list}"), "key")
         left = near.filter("failed").select("key", "x", "n").join(near.select("key", F.col("x").alias("y"), F.col("n").alias("m")), "key")
-        left = left.filter(f"x <> y and least(n, m) * {den} >= greatest(n, m) * {num}")
-        left = left.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.lit(0).cast("long").alias("low")).distinct()
-        links.append(_compare(scratch, left, prefixes, num, den, False).filter("linked").select("x", "y"))
+        links.append(_linked_pairs(scratch, left, prefixes, num, den))
         long = counts.filter(f"k > {short_list}")
-        if last or long.isEmpty():
+        if long.isEmpty():
+            break
+        if level == levels - 1:
+            links += _blockwise(scratch, listed.join(long, "key"), prefixes, num, den, max(short_list, SHORT_LIST))
             break
         entries = scratch.keep(listed.join(long.select("key"), "key").select("key", "x", "n", "alone", F.lit(0).alias("band")), "entries")
 
