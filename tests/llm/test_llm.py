@@ -90,6 +90,17 @@ def test_lower_thresholds(spark, num, den, short, long):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {1: (short, 1), 2: (long, 1), 3: (1, 3)}
 
 
+def test_long_lists_block_by_block(spark):
+    r = random.Random(9)
+    base = list(range(1, 41))
+    sets = {k: sorted(r.sample(base, r.randrange(30, 40))) for k in range(90)}
+    rows = spark.createDataFrame([(k, len(v), len(v), v) for k, v in sets.items()], "set_id long, n long, keep long, shared array<long>")
+    listed = spark.createDataFrame([(7, k, len(v), k % 3 == 0, 90) for k, v in sets.items()], "key long, x long, n long, failed boolean, k long")
+    found = [tuple(p) for part in ngram_join._blockwise(scratch.Scratch(spark, "test"), listed, rows, 80, 100, 20) for p in part.collect()]
+    want = [(a, b) for a in sets for b in sets if a < b and (a % 3 == 0 or b % 3 == 0) and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
+    assert sorted(found) == want and len(want) > 50
+
+
 def test_classes_edges(spark):
     assert ngram_join.similarity_classes(table(spark, [])).collect() == []
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)]
