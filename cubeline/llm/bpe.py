@@ -29,8 +29,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,11 +44,24 @@ MOST_STATES = 250_000
 MOST_PIECES = 800_000
 #: Pieces longer than this are read but not remembered.
 LONGEST_KEPT = 64
+#: Ids of a document that are decoded at once.
+AT_ONCE = 1024
 
 
 _BYTES = [bytes((b,)) for b in range(256)]
 
 
+class _Transitions(dict):
+    """state * 256 + byte -> state, computed when first asked for."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, key: int) -> int:
+        to = self[key] = self.machine._step(key >> 8, key & 255)
+        return to
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         if any(bytes((b,)) not in ranks for b in range(256)):
@@ -57,6 +72,7 @@ class Transducer:
         self._starts = {t[:k] for t in ranks for k in range(1, len(t))}
         self.most_states = most_states
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._alone: dict[int, bool] = {}  # whether a token's bytes, alone, become it
         self._reset()
 
     def _reset(self) -> None:
@@ -64,7 +80,7 @@ class Transducer:
         # longer token may start with; one token more than bytes unless that is the whole piece
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple[tuple[int, ...], bytes, int]] = []
-        self._next: dict[int, int] = {}  # state * 256 + byte -> state
+        self._next = _Transitions(self)
         self._last: list[int] = []
         self._final: list[int] = []  # what the end emits if the whole piece is a token that merges do not reach, else -1
         self._intern((), b"", -1)
@@ -102,6 +118,12 @@ class Transducer:
             found = self._pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
+    def _begins(self, token: int) -> bool:
+        found = self._alone.get(token)
+        if found is None:
+            found = self._alone[token] = self.merge(self.bytes_of[token]) == [token]
+        return found
+
     def _step(self, state: int, byte: int) -> int:
         lasts, tail, _ = self._states[state]
         whole = len(lasts) == len(tail)  # nothing of the piece has left the window
@@ -112,7 +134,7 @@ class Transducer:
             if token is None:
                 continue
             if n - at > len(lasts):
-                if self.merge(tail) == [token]:
+                if self._begins(token):
                     break
             else:
                 before = lasts[at - n]
@@ -127,11 +149,10 @@ class Transducer:
         if cut or not whole:
             tail = tail[cut:]
             lasts = lasts[cut - n - 1 :]
-        to = self._next[state << 8 | byte] = self._intern(lasts, tail, -1 if final == token else final)
-        return to
+        return self._intern(lasts, tail, -1 if final == token else final)
 
-    def read(self, piece: bytes) -> Iterator[int]:
-        """The tokens of one piece, each as soon as no later byte can change it."""
+    def read(self, piece: bytes, emit: Callable[[list[int]], None]) -> None:
+        """Emits the tokens of one piece, each as soon as no later byte can change it."""
         if len(self._states) > self.most_states:
             self._reset()
         state, lasts, sure = 0, [], 0
@@ -142,16 +163,15 @@ class Transducer:
                 cuts = [self._cuts(lasts, end, sure, sizes) for end in range(start - length + 1, start + 1)]
                 common = set(cuts[0]).intersection(*cuts[1:])
                 if common and (stop := max(common)) > sure:
-                    yield from self._tokens(lasts, stop, sure, sizes)
+                    emit(self._tokens(lasts, stop, sure, sizes))
                     sure = stop
             for byte in piece[start : start + length]:
-                to = following.get(state << 8 | byte)
-                state = self._step(state, byte) if to is None else to
+                state = following[state << 8 | byte]
                 lasts.append(last[state])
         if self._final[state] >= 0:
-            yield self._final[state]
+            emit([self._final[state]])
         else:
-            yield from self._tokens(lasts, len(lasts), sure, sizes)
+            emit(self._tokens(lasts, len(lasts), sure, sizes))
 
     @staticmethod
     def _cuts(lasts: list[int], end: int, since: int, sizes: dict) -> list[int]:
@@ -170,6 +190,13 @@ class Transducer:
         return out[::-1]
 
 
+#: Whole characters in a row.
+_WELL_FORMED = re.compile(
+    rb"(?:[\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    rb"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+"
+)
+
+
 class Utf8Stream:
     """Characters from bytes that come in parts."""
 
@@ -179,75 +206,93 @@ class Utf8Stream:
         self.low, self.high = 0x80, 0xBF  # bounds of its next byte
 
     def push(self, data: bytes) -> str:
-        if not self.need and data.isascii():
-            return data.decode("ascii")
         out: list[str] = []
-        for byte in data:
-            if self.need:
-                if self.low <= byte <= self.high:
-                    self.value = self.value << 6 | byte & 0x3F
-                    self.low, self.high = 0x80, 0xBF
-                    self.need -= 1
-                    if not self.need:
-                        out.append(chr(self.value))
-                    continue
-                self.need = 0
-                self.low, self.high = 0x80, 0xBF
-                out.append("�")
-            if byte < 0x80:
-                out.append(chr(byte))
-            elif 0xC2 <= byte <= 0xDF:
-                self.need, self.value = 1, byte & 0x1F
-            elif 0xE0 <= byte <= 0xEF:
-                self.need, self.value = 2, byte & 0x0F
-                self.low, self.high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
-            elif 0xF0 <= byte <= 0xF4:
-                self.need, self.value = 3, byte & 0x07
-                self.low, self.high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
-            else:
-                out.append("�")
+        at, n = 0, len(data)
+        while at < n:
+            if not self.need and (run := _WELL_FORMED.match(data, at)):
+                # from a closed state through whole characters into a closed state
+                out.append(run.group().decode())
+                at = run.end()
+                if at == n:
+                    break
+            at = self._byte(data[at], out, at)
         return "".join(out)
 
+    def _byte(self, byte: int, out: list[str], at: int) -> int:
+        """One transition; where the next byte is."""
+        if self.need:
+            if self.low <= byte <= self.high:
+                self.value = self.value << 6 | byte & 0x3F
+                self.low, self.high = 0x80, 0xBF
+                self.need -= 1
+                if not self.need:
+                    out.append(chr(self.value))
+                return at + 1
+            self.need = 0
+            self.low, self.high = 0x80, 0xBF
+            out.append("\ufffd")
+            return at
+        if byte < 0x80:
+            out.append(chr(byte))
+        elif 0xC2 <= byte <= 0xDF:
+            self.need, self.value = 1, byte & 0x1F
+        elif 0xE0 <= byte <= 0xEF:
+            self.need, self.value = 2, byte & 0x0F
+            self.low, self.high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+        elif 0xF0 <= byte <= 0xF4:
+            self.need, self.value = 3, byte & 0x07
+            self.low, self.high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
+        else:
+            out.append("\ufffd")
+        return at + 1
+
     def close(self) -> str:
         left, self.need = self.need, 0
-        return "�" if left else ""
+        return "\ufffd" if left else ""
+
+
+class _Outputs(dict):
+    """piece -> tokens, filled by the transducer; the newest half of ``most`` pieces at least is kept."""
+
+    def __init__(self, machine: Transducer, most: int):
+        self.machine, self.most, self.older = machine, most, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.older.get(piece)
+        if found is None:
+            read: list[int] = []
+            self.machine.read(piece.encode("utf-8", "surrogatepass"), read.extend)
+            found = tuple(read)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Codec:
     """Texts to ids and back, by a rank file's content and a splitting pattern."""
 
-    def __init__(self, content: bytes, pattern: str, most_pieces: int = MOST_PIECES):
+    def __init__(self, content: bytes, pattern: str, most_pieces: int = MOST_PIECES, most_states: int = MOST_STATES):
         import regex
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-        self.machine = Transducer(ranks)
+        self.machine = Transducer(ranks, most_states)
         self.split = regex.compile(pattern).findall
-        self.most_pieces = most_pieces
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._outputs = _Outputs(self.machine, most_pieces)
 
     def encode(self, text: str) -> list[int]:
-        pieces, out = self._pieces, []
-        for piece in self.split(text):
-            found = pieces.get(piece)
-            if found is None:
-                found = self._older.get(piece) or tuple(self.machine.read(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) <= LONGEST_KEPT:
-                    if len(pieces) >= self.most_pieces // 2:
-                        self._older = pieces
-                        self._pieces = pieces = {}
-                    pieces[piece] = found
-            out += found
-        return out
+        return list(chain.from_iterable(map(self._outputs.__getitem__, self.split(text))))
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.machine.bytes_of.__getitem__, ids))
 
-    def decode_stream(self, ids: Iterator[int]) -> Iterator[str]:
-        """The text of ids as they come."""
-        stream, of = Utf8Stream(), self.machine.bytes_of
-        for i in ids:
-            if out := stream.push(of[i]):
+    def decode_stream(self, ids: Iterable[int], at_once: int = 1) -> Iterator[str]:
+        """The text of ids as they come, ``at_once`` at a time."""
+        stream, ids = Utf8Stream(), iter(ids)
+        while some := list(islice(ids, at_once)):
+            if out := stream.push(self.decode_bytes(some)):
                 yield out
         if out := stream.close():
             yield out
@@ -292,7 +337,7 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value, pattern)
         for batch in batches:
-            texts = ["".join(c.decode_stream(x or ())) for x in batch.column(1).to_pylist()]
+            texts = ["".join(c.decode_stream(x or (), AT_ONCE)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
@@ -302,7 +347,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _decoded_digest(c: Codec, ids: list[int]) -> str:
-    return hashlib.sha256("".join(c.decode_stream(ids)).encode("utf-8")).hexdigest()
+    return hashlib.sha256("".join(c.decode_stream(ids, AT_ONCE)).encode("utf-8")).hexdigest()
 
 
 def round_trip_digests(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
