@@ -318,9 +318,11 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, nu
         groups = -(-groups // fan)
         packed = packed.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("bucket", "salt").applyInPandas(_met(parts, frequent), _PACKED)
     schema = "part long, keys binary, sets binary, often binary"
-    listed = packed.drop("salt").groupBy("bucket").applyInPandas(_shared(parts), schema)
+    # as many partitions as buckets, whatever the session's number is, so that a task's share does not grow
+    listed = packed.drop("salt").repartition(max(1 << bits, parts), "bucket").groupBy("bucket").applyInPandas(_shared(parts), schema)
     sizes = sets.filter("n > 0").select("set_id", "n").distinct()
     sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
+    listed, sizes = (t.repartition(parts, "part") for t in (listed, sizes))
     return listed.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
 
 
