@@ -217,4 +217,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     rows = id_text(docs, doc_id, text).mapInArrow(tails, "id long, row long, tokens long, crcs array<long>, tail binary, wide boolean")
     # by row and content, not by id: rows of one id spread over all groups
     rows = rows.withColumn("pack", F.pmod(F.xxhash64("id", "row", "tail"), F.lit(groups)))
-    return rows.groupBy("pack").applyInArrow(_packed(length, linear, quadratic), PIECES)
+    # as many partitions as groups, whatever the session's number is, so that a task's share does not grow
+    return rows.repartition(groups, "pack").groupBy("pack").applyInArrow(_packed(length, linear, quadratic), PIECES)
