@@ -52,7 +52,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,7 +160,21 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-_PACKED = "bucket long, salt long, keys binary, of binary, sets binary, marks boolean"
+_PACKED = "slot long, bucket long, salt long, keys binary, of binary, sets binary, marks boolean"
+#: Partitions that buckets are dealt to, at most.
+MOST_SLOTS = 16_384
+
+
+def _slots(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that hash partitioning deals to n partitions, one to each."""
+    found: dict[int, int] = {}
+    at, size = 0, 16 * n + 64
+    while len(found) < n:
+        rows = spark.range(at, at + size).groupBy(F.expr(f"pmod(hash(id), {n})").alias("p")).agg(F.min("id").alias("id")).collect()  # n rows
+        for r in rows:
+            found.setdefault(r.p, r.id)
+        at += size
+    return np.array([found[p] for p in range(n)], np.int64)
 
 
 def _blob(bucket: int, salt: int, keys: np.ndarray, of: np.ndarray, sets: np.ndarray) -> tuple:
@@ -182,7 +196,12 @@ def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(sets), np.concatenate(none)
 
 
-def _packed(bits: int, parts: int, frequent: int, portion: int) -> Callable:
+def _dealt(out: list[tuple], slots: np.ndarray) -> list[tuple]:
+    """Rows with the slot of their bucket before it: buckets, and the parts of frequent entries, in turn."""
+    return [(int(slots[row[0] % len(slots)]), *row) for row in out]
+
+
+def _packed(bits: int, parts: int, frequent: int, portion: int, slots: np.ndarray) -> Callable:
     """_PACKED: the entries of shingles that are not frequent here, with a list of their sets; of each that is, a mark without a set.
 
     Under -1 - part, the entries of the frequent ones, by set. salt: a number of the portion.
@@ -201,13 +220,13 @@ def _packed(bits: int, parts: int, frequent: int, portion: int) -> Callable:
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(at, np.append(at[1:], len(keys))[: len(at)], strict=True):
                 out.append(_blob(int(bucket[a]), salt, keys[a:b], of[a:b], sets))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "salt", "keys", "of", "sets", "marks"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*_dealt(out, slots), strict=True), kinds, strict=True)], names=["slot", "bucket", "salt", "keys", "of", "sets", "marks"])
 
     return rows
 
 
-def _met(parts: int, frequent: int) -> Callable:
+def _met(parts: int, frequent: int, slots: np.ndarray) -> Callable:
     def met(key, pdf):
         """_PACKED of some portions of one hash range, as of one portion. Entries of frequent shingles go on as they are."""
         import pandas as pd
@@ -231,7 +250,7 @@ def _met(parts: int, frequent: int) -> Callable:
         order = np.argsort(keys, kind="stable")
         if len(keys):
             out.append(_blob(bucket, salt, keys[order], of[order], named))
-        return pd.DataFrame(out, columns=["bucket", "salt", "keys", "of", "sets", "marks"])
+        return pd.DataFrame(_dealt(out, slots), columns=["slot", "bucket", "salt", "keys", "of", "sets", "marks"])
 
     return met
 
@@ -250,9 +269,9 @@ def _shared(parts: int) -> Callable:
         """Of one hash range, the entries of shingles that several sets hold or that are marked, with the number of sets. Frequent ones go on as they are."""
         import pandas as pd
 
-        if key[0] < 0:
+        if key[1] < 0:
             often = [np.full(len(s) // 8, _MANY, np.uint32).tobytes() for s in pdf["sets"]]
-            return pd.DataFrame({"part": np.full(len(pdf), -1 - key[0], np.int64), "keys": pdf["keys"], "sets": pdf["sets"], "often": often})
+            return pd.DataFrame({"part": np.full(len(pdf), -1 - key[1], np.int64), "keys": pdf["keys"], "sets": pdf["sets"], "often": often})
         keys, sets, none = _unpacked(zip(pdf["keys"], pdf["of"], pdf["sets"], pdf["marks"], strict=True))
         marked = np.unique(keys[none])
         order = np.argsort(keys, kind="stable")
@@ -312,18 +331,21 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, nu
     bits = max(3, int(np.ceil(np.log2((total or 0) / BUCKET + 1))))
     parts = max(8, (count or 0) // PART_SETS)
     texts = id_text(docs, doc_id, text)
-    packed = texts.mapInArrow(_packed(bits, parts, frequent, portion), _PACKED)
+    slots = _slots(docs.sparkSession, min((1 << bits) + parts, MOST_SLOTS))
+    packed = texts.mapInArrow(_packed(bits, parts, frequent, portion, slots), _PACKED)
     groups = -(-(total or 0) // portion)
     while groups > fan:
         groups = -(-groups // fan)
-        packed = packed.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("bucket", "salt").applyInPandas(_met(parts, frequent), _PACKED)
+        packed = packed.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("bucket", "salt").applyInPandas(_met(parts, frequent, slots), _PACKED)
     schema = "part long, keys binary, sets binary, often binary"
     # as many partitions as buckets, whatever the session's number is, so that a task's share does not grow
-    listed = packed.drop("salt").repartition(max(1 << bits, parts), "bucket").groupBy("bucket").applyInPandas(_shared(parts), schema)
+    listed = packed.drop("salt").repartition(len(slots), "slot").groupBy("slot", "bucket").applyInPandas(_shared(parts), schema)
     sizes = sets.filter("n > 0").select("set_id", "n").distinct()
     sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
-    listed, sizes = (t.repartition(parts, "part") for t in (listed, sizes))
-    return listed.groupBy("part").cogroup(sizes.groupBy("part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
+    own = _slots(docs.sparkSession, min(parts, MOST_SLOTS))
+    named = F.broadcast(docs.sparkSession.createDataFrame([(k, int(v)) for k, v in enumerate(own)], "turn long, slot long"))  # MOST_SLOTS rows at most
+    listed, sizes = (t.withColumn("turn", F.pmod("part", F.lit(len(own)))).join(named, "turn").drop("turn").repartition(len(own), "slot") for t in (listed, sizes))
+    return listed.groupBy("slot", "part").cogroup(sizes.groupBy("slot", "part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
 
 
 # --- the boundary, and list entries ---------------------------------------------------------------
