@@ -342,9 +342,13 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, nu
     listed = packed.drop("salt").repartition(len(slots), "slot").groupBy("slot", "bucket").applyInPandas(_shared(parts), schema)
     sizes = sets.filter("n > 0").select("set_id", "n").distinct()
     sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
-    own = _slots(docs.sparkSession, min(parts, MOST_SLOTS))
-    named = F.broadcast(docs.sparkSession.createDataFrame([(k, int(v)) for k, v in enumerate(own)], "turn long, slot long"))  # MOST_SLOTS rows at most
-    listed, sizes = (t.withColumn("turn", F.pmod("part", F.lit(len(own)))).join(named, "turn").drop("turn").repartition(len(own), "slot") for t in (listed, sizes))
+    own = [(k, int(v)) for k, v in enumerate(_slots(docs.sparkSession, min(parts, MOST_SLOTS)))]
+
+    def dealt(t: DataFrame) -> DataFrame:
+        named = F.broadcast(docs.sparkSession.createDataFrame(own, "turn long, slot long"))  # MOST_SLOTS rows at most
+        return t.withColumn("turn", F.pmod("part", F.lit(len(own)))).join(named, "turn").drop("turn").repartition(len(own), "slot")
+
+    listed, sizes = dealt(listed), dealt(sizes)
     return listed.groupBy("slot", "part").cogroup(sizes.groupBy("slot", "part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
 
 
