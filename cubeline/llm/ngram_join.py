@@ -52,6 +52,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -297,14 +298,17 @@ def _shared(parts: int) -> Callable:
 
 
 def _prefixes(num: int, den: int) -> Callable:
-    def prefixes(_key, blobs, sets):
-        """(set_id, n, keep, shared): the shingles of a set that another one holds, rarest first; ``keep`` of them are in its extended prefix."""
-        import pandas as pd
-
-        size = dict(zip(sets["set_id"].tolist(), sets["n"].tolist(), strict=True))
+    def prefixes(table: pa.Table) -> pa.Table:
+        """(set_id, n, keep, shared): the shingles of a set that another one holds, rarest first; ``keep`` of them are in its extended prefix.
+
+        Rows are blobs (keys, sets, often) or sets (set_id, n).
+        """
+        blobs = table.filter(pc.is_valid(table["keys"]))
+        named = table.filter(pc.is_valid(table["set_id"]))
+        size = dict(zip(named["set_id"].to_pylist(), named["n"].to_pylist(), strict=True))
         out = []
-        if len(blobs):
-            keys, own, often = (np.concatenate([np.frombuffer(x, t) for x in blobs[c]]) for c, t in (("keys", np.uint64), ("sets", np.int64), ("often", np.uint32)))
+        if blobs.num_rows:
+            keys, own, often = (np.concatenate([np.frombuffer(x, t) for x in blobs[c].to_pylist()]) for c, t in (("keys", np.uint64), ("sets", np.int64), ("often", np.uint32)))
             order = np.lexsort((keys, often, own))
             keys, own, often = keys[order], own[order], often[order]
             new = np.ones(len(keys), bool)
@@ -316,7 +320,9 @@ def _prefixes(num: int, den: int) -> Callable:
                 keep = _prefix(n, num, den) + 1 - (n - (b - a))
                 if keep > 0:
                     out.append((int(own[a]), n, min(keep, int(b - a)), keys[a:b].view(np.int64)))
-        return pd.DataFrame(out, columns=["set_id", "n", "keep", "shared"])
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["set_id", "n", "keep", "shared"])
 
     return prefixes
 
@@ -343,13 +349,9 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, doc_id: str, text: str, nu
     sizes = sets.filter("n > 0").select("set_id", "n").distinct()
     sizes = sizes.withColumn("part", F.expr(f"pmod(pmod(shiftrightunsigned(set_id, 1), {parts}) * 2 + (set_id & 1), {parts})"))
     own = [(k, int(v)) for k, v in enumerate(_slots(docs.sparkSession, min(parts, MOST_SLOTS)))]
-
-    def dealt(t: DataFrame) -> DataFrame:
-        named = F.broadcast(docs.sparkSession.createDataFrame(own, "turn long, slot long"))  # MOST_SLOTS rows at most
-        return t.withColumn("turn", F.pmod("part", F.lit(len(own)))).join(named, "turn").drop("turn").repartition(len(own), "slot")
-
-    listed, sizes = dealt(listed), dealt(sizes)
-    return listed.groupBy("slot", "part").cogroup(sizes.groupBy("slot", "part")).applyInPandas(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
+    named = F.broadcast(docs.sparkSession.createDataFrame(own, "turn long, slot long"))  # MOST_SLOTS rows at most
+    rows = listed.unionByName(sizes, allowMissingColumns=True).withColumn("turn", F.pmod("part", F.lit(len(own)))).join(named, "turn").drop("turn")
+    return rows.repartition(len(own), "slot").groupBy("slot", "part").applyInArrow(_prefixes(num, den), "set_id long, n long, keep long, shared array<long>")
 
 
 # --- the boundary, and list entries ---------------------------------------------------------------
