@@ -766,3 +766,34 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert {p.doc_id for p in pieces} == set(kept)
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Stage by stage on null texts, null and repeated ids, repeated rows; and on an empty table. No text loses its last copy but to the classifier."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    prose = [words(r, 80) for _ in range(6)]
+    rows = [(1, prose[0]), (2, prose[0] + " "), (2, prose[1]), (2, prose[1]), (None, prose[2]), (None, prose[2]), (None, None), (3, None), (4, ""), (5, prose[3] + " mail a@b.cd"), (6, prose[3] + " mail x@y.zz"), (1 << 60, prose[4]), ((1 << 60) + 1, prose[5]), (7, "one " * 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, run int, row long, pack long"
+    for listed in (rows, []):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 1, 2, 3) for i, t in listed], schema)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs.collect()
+            path = f"{tmp_path}/{name}-{len(listed)}"
+            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
+            docs = spark.read.parquet(path)
+            after = docs.collect()
+            assert docs.columns == columns
+            if name == "exact_dedup":
+                assert sorted(WHITE.sub("", d.text or "") for d in after) == sorted({WHITE.sub("", d.text or "") for d in before})
+            elif name == "ngram_join":
+                number = dict(enumerate(d.text for d in before))
+                classes = {c for _, c in brute_classes(list(number.items())).values()}
+                assert len(after) == len(classes)
+            elif name == "pii":
+                assert sorted(pii.mask(d.text) or "" for d in before) == sorted(d.text or "" for d in after) and all(d.text is None or d.n_chars == len(d.text) for d in after)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+        assert sum(p.start == 0 for p in pieces) == docs.count()
+        assert {p.doc_id for p in pieces} == {d.doc_id for d in docs.collect()}
