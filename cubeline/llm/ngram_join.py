@@ -76,6 +76,8 @@ BUCKET = 1_000_000
 PART_SETS = 10_000
 #: Up to this many pairs (24 bytes each) are broadcast to the table of sets; more are shuffled with it.
 BROADCAST_PAIRS = 200_000
+#: A set of more rows than this, and than one in MOST_HOT of all rows, is hot. So at most MOST_HOT sets are, and are broadcast (16 bytes each).
+HOT_ROWS, MOST_HOT = 1000, 10_000
 _MANY = np.uint32(0xFFFFFFFF)
 #: Lists up to this length are compared pair by pair once a set has failed against a leader.
 SHORT_LIST = 32
@@ -493,6 +495,7 @@ def similarity_classes(
     frequent: int = FREQUENT,
     portion: int = PORTION,
     fan: int = FAN,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each document.
 
@@ -501,19 +504,36 @@ def similarity_classes(
     are left are compared block by block. limit: the boundary between small and large sets; by cost if None.
     frequent: a shingle in more sets than this of a portion, or of portions that
     meet, is frequent. portion: shingles of a portion. fan: portions that meet.
+    hot_rows: rows of one set up to which they may meet in a task.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     table, links = _links(scratch, settled(scratch, docs, doc_id, text), doc_id, text, num, den, short_list, levels, limit, frequent, portion, fan)
-    reps = _sets(table).select("set_id", F.col("id").alias("rep"))
+    reps = _sets(table).select("set_id", F.col("id").alias("rep"), "copies")
     named = reps.filter("rep is not null")
     edges = links.join(named.select(F.col("set_id").alias("x"), F.col("rep").alias("a")), "x").join(named.select(F.col("set_id").alias("y"), F.col("rep").alias("b")), "y")
     classes = scratch.keep(components(scratch, edges.select("a", "b")), "classes")
     _verify(table)
-    rep = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = table.select("id", "set_id", "n").join(rep, "set_id", "left")
+    rep = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "copies", F.coalesce("component", "rep").alias("component"))
+    out = _classed(table, scratch.keep(rep, "reps"), hot_rows)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _classed(table: DataFrame, reps: DataFrame, hot_rows: int) -> DataFrame:
+    """(id, n, component) of all rows; reps: (set_id, copies, component).
+
+    Rows of hot sets stay where they are, as their classes are broadcast, and rows
+    without a set need none; so no key brings more rows to a task than a hot set has at least.
+    """
+    limit = max(hot_rows, table.count() // MOST_HOT)
+    hot = F.broadcast(reps.filter(F.col("copies") > limit).select("set_id", "component"))
+    others = reps.filter(F.col("copies") <= limit).select("set_id", "component")
+    full = table.filter("n > 0")
+    # both sides grow with docs: shuffled at any size, never broadcast while they are few
+    rest = full.join(hot.select("set_id"), "set_id", "left_anti").join(others.hint("merge"), "set_id")
+    none = table.filter("n = 0").withColumn("component", F.col("id"))
+    return full.join(hot, "set_id").select("id", "n", "component").union(rest.select("id", "n", "component")).union(none.select("id", "n", "component"))
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """docs with one row, that of the smallest id (one without an id only if no other is), of each class of similar texts.
 
@@ -546,8 +566,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def _sets(table: DataFrame) -> DataFrame:
-    """(set_id, id): each set with its smallest id."""
-    return table.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("id"))
+    """(set_id, id, copies): each set with its smallest id and number of rows."""
+    return table.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
 def _verify(table: DataFrame) -> None:

@@ -73,7 +73,7 @@ def brute_classes(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 1, "short_list": 2, "frequent": 8}, {"limit": 64, "short_list": 1, "levels": 2, "frequent": 8}, {"frequent": 2, "portion": 1500, "fan": 2}, {"frequent": 30, "portion": 500, "fan": 3, "short_list": 4}])
+@pytest.mark.parametrize("options", [{}, {"limit": 1, "short_list": 2, "frequent": 8}, {"limit": 64, "short_list": 1, "levels": 2, "frequent": 8}, {"frequent": 2, "portion": 1500, "fan": 2}, {"frequent": 30, "portion": 500, "fan": 3, "short_list": 4}, {"hot_rows": 2}])
 def test_classes(spark, options):
     rows = corpus()
     found = ngram_join.similarity_classes(table(spark, rows), **options).collect()
@@ -103,9 +103,10 @@ def test_long_lists_block_by_block(spark):
 
 def test_classes_edges(spark):
     assert ngram_join.similarity_classes(table(spark, [])).collect() == []
-    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)]
-    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.similarity_classes(table(spark, rows)).collect())
-    assert found == [(-1, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4)]
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (None, ""), (None, "only one without an id")]
+    for hot_rows in (0, 2, 1000):
+        found = ngram_join.similarity_classes(table(spark, rows), hot_rows=hot_rows).collect()
+        assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in found) == [(-1, 0, -1), (-1, 1, -1), (-1, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4)]
 
 
 @pytest.mark.parametrize("shuffled", [False, True])
